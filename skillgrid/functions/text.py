@@ -126,8 +126,11 @@ def parse_date(c: Column) -> Column:
 
 def first_wins(values: Column, key) -> Column:
     """Array without later elements whose key occurred before; order is kept."""
-    keys = F.transform(values, key)
-    return F.filter(values, lambda v, i: F.array_position(keys, key(v)) == (i + 1).cast("bigint"))
+    def kept(p):
+        numbered = F.transform(p["v"], lambda v, i: F.struct(v.alias("v"), i.alias("i")))
+        return F.transform(F.filter(numbered, lambda e: F.array_position(p["k"], key(e["v"])) == e["i"] + 1), lambda e: e["v"])
+
+    return let(let(values, lambda v: F.struct(v.alias("v"), F.transform(v, key).alias("k"))), kept)
 
 
 def typed_list(c: Column, canonical) -> Column:

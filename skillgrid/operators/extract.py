@@ -112,37 +112,59 @@ def segments(sents: DataFrame) -> DataFrame:
     return _pieces(sents.withColumn("_flat", flat), "_flat", r"[^\p{L}\p{N}+#&/ ]", "segment", "segment_start").drop("_flat")
 
 
+def word_runs(words: Column, most: int) -> Column:
+    """Every word with the words after it, ``most`` in all: ARRAY<STRUCT<w0, w1, ...>>, linear in the text."""
+    def zipped(w):
+        return F.arrays_zip(*[F.slice(w, F.lit(n + 1), F.greatest(F.size(w), F.lit(1))) for n in range(most)])
+
+    return text.let(words, zipped)
+
+
+def _run_text(run: Column, most: int, n_words: Column) -> Column:
+    fields = F.array(*[run[str(n)] for n in range(most)])
+    return F.array_join(F.slice(fields, F.lit(1), n_words), " ")
+
+
+def longest(phrases: DataFrame) -> tuple[int, int]:
+    """Words and characters of the longest phrase (two numbers from a small table)."""
+    row = phrases.agg(F.max("n_words"), F.max(F.length("phrase"))).first()
+    return row[0] or 1, row[1] or 1
+
+
 def phrase_hits(docs: DataFrame, lexicon: DataFrame, doc: str = "doc_id", text_col: str = "text",
                 with_context: bool = False) -> DataFrame:
     """All occurrences of lexicon phrases: doc, skill, text, start, end (and the sentence).
 
-    Words are matched with the first word of the phrases by an equi-join, so the cost does not grow
-    with the lexicon; the rest of the phrase is checked on the joined row.
+    Words are matched with the first word of the phrases by an equi-join, so the cost does not grow with
+    the lexicon. A word row carries only as many following words as the longest phrase has, so even a text
+    without any punctuation stays linear.
     """
+    most, width = longest(lexicon)
     rows = segments(sentences(docs.select(doc, text_col), text_col)).withColumn("words", F.split("segment", " "))
-    rows = rows.select(doc, "sentence", "sentence_start", "segment_start", "words", F.posexplode("words").alias("i", "word"))
-    rows = rows.filter(F.col("word") != "")
-    met = rows.join(lexicon, rows.word == lexicon.first_word).filter(
-        F.array_join(F.slice("words", F.col("i") + 1, F.col("n_words")), " ") == F.col("phrase"))
-    lead = F.when(F.col("i") == 0, 0).otherwise(F.length(F.array_join(F.slice("words", F.lit(1), F.col("i")), " ")) + 1)
-    inside = F.col("segment_start") + lead
-    start = F.col("sentence_start") + inside
-    out = met.select(
-        doc, "skill",
-        F.substring("sentence", inside + 1, F.length("phrase")).alias("text"),
-        start.alias("start"), (start + F.length("phrase")).alias("end"),
-        F.left(F.trim("sentence"), F.lit(500)).alias("context"))
+    # the runs are numbered by position: struct fields "0", "1", ...
+    offsets = _offsets(F.col("words"))
+    rows = rows.withColumn("_z", F.arrays_zip(word_runs(F.col("words"), most).alias("run"), offsets.alias("off")))
+    rows = rows.select(
+        doc, F.col("sentence_start"), F.col("segment_start"), F.left(F.trim("sentence"), F.lit(500)).alias("context"),
+        F.explode(F.transform("_z", lambda z: F.struct(
+            z["run"].alias("run"), z["off"].alias("off"),
+            F.substring(F.col("sentence"), F.col("segment_start") + z["off"] + 1, F.lit(width)).alias("near")))).alias("t"))
+    rows = rows.filter(F.col("t.run.0") != "")
+    met = rows.join(lexicon, F.col("t.run.0") == lexicon.first_word).filter(
+        _run_text(F.col("t.run"), most, F.col("n_words")) == F.col("phrase"))
+    start = F.col("sentence_start") + F.col("segment_start") + F.col("t.off")
+    out = met.select(doc, "skill", F.left("t.near", F.length("phrase")).alias("text"), start.alias("start"),
+                     (start + F.length("phrase")).alias("end"), "context")
     return out if with_context else out.drop("context")
 
 
-def token_hits(docs: DataFrame, tokens: Column, phrases: DataFrame, max_words: int, doc: str = "doc_id") -> DataFrame:
+def token_hits(docs: DataFrame, tokens: Column, phrases: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Distinct (doc, skill) whose phrase is a run of the given tokens; ``phrases``: phrase, skill, first_word, n_words."""
-    windows = docs.select(doc, tokens.alias("_t")).filter(F.size("_t") > 0).select(
-        doc, F.explode(F.transform(F.sequence(F.lit(1), F.size("_t")), lambda i: F.slice(F.col("_t"), i, F.lit(max_words)))).alias("run"))
-    # the skill names are repeated across a text: distinct runs per document first, before the join
+    most, _ = longest(phrases)
+    runs = docs.select(doc, F.explode(word_runs(tokens, most)).alias("run"))
     return (
-        windows.join(phrases, F.get("run", 0) == F.col("first_word"))
-        .filter(F.array_join(F.slice("run", F.lit(1), F.col("n_words")), " ") == F.col("phrase"))
+        runs.join(phrases, F.col("run.0") == F.col("first_word"))
+        .filter(_run_text(F.col("run"), most, F.col("n_words")) == F.col("phrase"))
         .select(doc, "skill").distinct()
     )
 
@@ -153,21 +175,16 @@ def keyword_phrases(spark: SparkSession, keywords=K.KEYWORDS) -> DataFrame:
     return with_words(rows.withColumn("phrase", text.normalise_text(F.col("skill"))).filter("phrase <> ''"))
 
 
-def longest(phrases: DataFrame) -> int:
-    """Number of words of the longest phrase (one number from a small table)."""
-    return phrases.agg(F.max("n_words")).first()[0] or 1
-
-
 def keyword_skills(docs: DataFrame, phrases: DataFrame, doc: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Keyword extraction on cleaned text: doc, sorted skills (documents without any keep an empty list)."""
-    hits = token_hits(docs, text.words(F.col(text_col)), phrases, longest(phrases), doc)
+    hits = token_hits(docs, text.words(F.col(text_col)), phrases, doc)
     return skill_lists(docs.select(doc), hits, doc)
 
 
 def padded_skills(docs: DataFrame, phrases: DataFrame, doc: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Lexicon match on ' text ' where +, # and single blanks count."""
     flat = F.regexp_replace(F.lower(text.text_or_empty(F.col(text_col))), "[^a-z0-9+# ]+", " ")
-    hits = token_hits(docs, F.split(flat, " "), phrases, longest(phrases), doc)
+    hits = token_hits(docs, F.split(flat, " "), phrases, doc)
     return skill_lists(docs.select(doc), hits, doc)
 
 
@@ -296,9 +313,10 @@ def skill_offsets(text_c: Column, skill: Column) -> Column:
 
 def sentence_of(text_c: Column, start: Column) -> Column:
     """Sentence around an offset, at most 500 characters."""
-    before = F.regexp_extract(F.left(text_c, start), r"([^.!?\n]*)$", 1)
-    after = F.regexp_extract(F.substring(text_c, start + 1, F.length(text_c)), r"^([^.!?\n]*)", 1)
-    return F.left(F.trim(F.concat(before, after)), F.lit(500))
+    flat = F.translate(text_c, ".!?", "\n\n\n")
+    before = F.length(F.substring_index(F.left(flat, start), "\n", -1))
+    after = F.length(F.substring_index(F.substring(flat, start + 1, F.length(flat)), "\n", 1))
+    return F.left(F.trim(F.substring(text_c, start - before + 1, before + after)), F.lit(500))
 
 
 def evidence_window(text_c: Column, start: Column, end: Column, skill: Column, width: int = 360) -> Column:

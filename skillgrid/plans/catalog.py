@@ -6,7 +6,9 @@ import importlib
 
 from skillgrid.plans import registry
 
-MODULES = ("cleaning_queries", "skill_queries", "extract_queries", "score_queries")
+MODULES = (
+    "cleaning_queries", "skill_queries", "extract_queries", "score_queries", "evidence_queries", "report_queries",
+)
 
 for _name in MODULES:
     importlib.import_module(f"skillgrid.plans.{_name}")

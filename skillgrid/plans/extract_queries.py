@@ -43,15 +43,20 @@ def _module_docs(t):
 
 
 def grams_sql(tokens: str, longest: int) -> str:
-    return " UNION ALL ".join(
-        f"SELECT doc_id, {n} AS n, array_to_string(tk[k:k + {n - 1}], ' ') AS g FROM (SELECT doc_id, tk, unnest(generate_series(1, len(tk))) AS k FROM {tokens}) WHERE k + {n - 1} <= len(tk)"
-        for n in range(1, longest + 1))
+    """All runs of 1..longest tokens of a relation (doc_id, tk)."""
+    leads = ", ".join(f"lead(w, {n}) OVER (PARTITION BY doc_id ORDER BY k) AS w{n}" for n in range(1, longest))
+    parts = []
+    for n in range(1, longest + 1):
+        words = " || ' ' || ".join(["w"] + [f"w{i}" for i in range(1, n)])
+        parts.append(f"SELECT doc_id, {n} AS n, {words} AS g FROM q" + (f" WHERE w{n - 1} IS NOT NULL" if n > 1 else ""))
+    return (f"WITH q AS (SELECT *, {leads} FROM (SELECT doc_id, unnest(tk) AS w, generate_subscripts(tk, 1) AS k FROM {tokens})) "
+            + " UNION ALL ".join(parts))
 
 
 @query("D1_keyword_skills", f"""
     WITH tok AS (SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS tk FROM documents),
     kw AS (SELECT phrase AS skill, trim(regexp_replace(phrase, '[^a-z0-9]+', ' ', 'g')) AS p FROM m_term),
-    f AS (SELECT DISTINCT doc_id, skill FROM ({grams_sql('tok', 3)}) g JOIN kw ON g.g = kw.p)
+    f AS (SELECT DISTINCT doc_id, skill FROM ({grams_sql('tok', 12)}) g JOIN kw ON g.g = kw.p)
     SELECT d.doc_id, coalesce(string_agg(skill, '|' ORDER BY skill), '') AS skills FROM documents d LEFT JOIN f USING (doc_id) GROUP BY 1""", ("m_term",))
 def keyword_skills(t):
     phrases = extract.with_words(t.terms.select(
@@ -224,8 +229,8 @@ def paragraph_context(t):
     WITH {hits_sql(DOCS, 'm_lexicon', 3)}
     SELECT doc_id, skill, "start", left(context, 500) AS sentence FROM hits""", ("m_lexicon",))
 def sentence_of_mention(t):
-    hits = extract.phrase_hits(_docs(t), t.lexicon).select("doc_id", "skill", "start")
-    return hits.join(_docs(t), "doc_id").select("doc_id", "skill", "start", extract.sentence_of(F.col("text"), F.col("start")).alias("sentence"))
+    hits = extract.phrase_hits(_docs(t), t.lexicon, with_context=True)
+    return hits.select("doc_id", "skill", "start", F.col("context").alias("sentence"))
 
 
 @query("D15_skill_matrix", f"""

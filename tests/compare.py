@@ -6,8 +6,10 @@ import datetime as dt
 import decimal
 import math
 import sys
+import threading
 import time
 
+LIMIT = 60  # seconds for either side of a query
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -45,14 +47,20 @@ def duck(sf_dir):
 def compare(spark, con, name, build, sql, sf_dir):
     """(ok, message) for one query."""
     t0 = time.time()
+    stop = threading.Timer(LIMIT, spark.sparkContext.cancelAllJobs)
+    stop.start()
     df = build(spark, sf_dir)
     got = [tuple(r) for r in df.collect()]
+    stop.cancel()
     t1 = time.time()
     if sql is None:
         return True, f"rows-only {len(got)} rows {t1 - t0:.1f}s"
+    stop = threading.Timer(LIMIT, con.interrupt)
+    stop.start()
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     want = cur.fetchall()
+    stop.cancel()
     took = f"{t1 - t0:.1f}s/{time.time() - t1:.1f}s"
     if sorted(names) != sorted(df.columns):
         return False, f"columns {sorted(df.columns)} vs {sorted(names)}"
