@@ -149,10 +149,10 @@ def skill_confidence(t):
 @query("F5_matched_confidence", f"""
     WITH c AS (SELECT course_id, skill, max(confidence) AS x FROM m_mod_ent GROUP BY 1, 2),
     j AS (SELECT job_id, skill, max(confidence) AS x FROM m_job_ent GROUP BY 1, 2)
-    SELECT course_id, job_id, {B.sql_round('avg((c.x + j.x) / 2)', 4)} AS confidence_score FROM c JOIN j USING (skill) GROUP BY 1, 2""", ("m_mod_ent", "m_job_ent"))
+    SELECT course_id, job_id, {B.sql_round('avg((c.x + j.x) / 2)', 6)} AS confidence_score FROM c JOIN j USING (skill) GROUP BY 1, 2""", ("m_mod_ent", "m_job_ent"))
 def matched_confidence(t):
     out = pairs.matched_confidence(pairs.max_confidence(t.module_entities, "course_id"), pairs.max_confidence(t.job_lines, "job_id"))
-    return out.withColumn("confidence_score", scores.half_up(F.col("confidence_score"), 4))
+    return out.withColumn("confidence_score", scores.half_up(F.col("confidence_score"), 6))
 
 
 def policy_sql(s: str, k: str, c: str) -> str:

@@ -67,8 +67,9 @@ def compare(spark, con, name, build, sql, sf_dir):
     a, b = rows_of(df.columns, got), rows_of(names, want)
     if a == b:
         return True, f"{len(a)} rows {took}"
-    diff = [x for x in a if x not in set(b)][:2] if len(a) < 400000 else []
-    other = [x for x in b if x not in set(a)][:2] if len(b) < 400000 else []
+    in_a, in_b = set(a), set(b)
+    diff = [x for x in a if x not in in_b][:2]
+    other = [x for x in b if x not in in_a][:2]
     return False, f"{len(a)} vs {len(b)} rows {took}\n   spark {str(diff)[:900]}\n   duck  {str(other)[:900]}"
 
 
