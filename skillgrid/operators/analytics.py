@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 
 from skillgrid.functions import constants as K
 from skillgrid.functions import scores, skills, text
+from skillgrid.session import cut
 
 
 def latest_run(runs: DataFrame, results: DataFrame) -> DataFrame:
@@ -303,20 +304,22 @@ def skill_association(rows: DataFrame, limit: int | None = 18) -> DataFrame:
     return out.orderBy(F.desc("strength"), F.desc("pair_count"), F.desc("left"), F.desc("right")).limit(limit) if limit else out
 
 
-def modal(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Most frequent value per key, ties by the smaller value."""
-    counts = rows.groupBy(key, value).agg(F.count("*").alias("n"))
-    return counts.groupBy(key).agg(F.max_by(value, F.struct("n")).alias("_any"), F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias(value)).drop("_any")
+def modal(counts: DataFrame, key: str, value: str) -> DataFrame:
+    """Most frequent value per key from counted rows (key, value, n), ties by the smaller value."""
+    per = counts.groupBy(key, value).agg(F.sum("n").alias("n"))
+    return per.groupBy(key).agg(F.min_by(value, F.struct(-F.col("n"), F.col(value))).alias(value))
 
 
 def association_edges(rows: DataFrame, cosines: DataFrame, top_n: int = 36, keep: float = 0.28) -> DataFrame:
     """Edges among the most frequent skills: word cosine, same usual type, same usual sector.
 
-    An edge needs a shared word, or the same type and sector together; both are equi-joins.
+    An edge needs a shared word, or the same type and sector together; both are equi-joins. The evidence is
+    read once: everything follows from its counts per skill, type and sector.
     """
-    names = rows.groupBy("skill").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "skill").limit(top_n).select("skill")
-    few = rows.join(F.broadcast(names), "skill", "left_semi")
-    about = modal(few, "skill", "skill_type").join(modal(few, "skill", "sector"), "skill")
+    counts = cut(rows.groupBy("skill", "skill_type", "sector").agg(F.count("*").alias("n")))
+    names = counts.groupBy("skill").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "skill").limit(top_n).select("skill")
+    few = counts.join(F.broadcast(names), "skill", "left_semi")
+    about = cut(modal(few, "skill", "skill_type").join(modal(few, "skill", "sector"), "skill"))
     l = about.select(F.col("skill").alias("left"), F.col("skill_type").alias("lt"), F.col("sector").alias("ls"))
     r = about.select(F.col("skill").alias("right"), F.col("skill_type").alias("rt"), F.col("sector").alias("rs"))
     alike = l.join(r, (F.col("lt") == F.col("rt")) & (F.col("ls") == F.col("rs"))).filter("left < right").select("left", "right")

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from skillgrid.functions import skills, text
 from skillgrid.operators.review import is_active
+from skillgrid.session import cut
 
 EVIDENCE = (
     "source_type", "source_id", "source_label", "parent_label", "entity_id", "chunk_id", "skill", "label", "tier", "skill_type",
@@ -99,7 +100,7 @@ def first_rows(rows: DataFrame, limit: int) -> DataFrame:
 
 def bundle_counts(rows: DataFrame, sample: int = 3000, chart: int = 1200) -> DataFrame:
     """Counts by type and source of the charted rows, and the facet values of the sampled rows."""
-    ranked = first_rows(rows, sample).select(*EVIDENCE_ORDER, "skill_type", "label_status", "sector", "job_title")
+    ranked = cut(first_rows(rows, sample).select(*EVIDENCE_ORDER, "skill_type", "label_status", "sector", "job_title"))
     charted = ranked.orderBy(*EVIDENCE_ORDER).limit(chart)
     counts = [charted.groupBy(F.lit(n).alias("kind"), F.col(n).alias("value")).agg(F.count("*").alias("n")) for n in ("skill_type", "source_type")]
     facets = ranked.select(F.explode(F.array(*[

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # A join side is broadcast only when Spark's own size estimate (or AQE's measured size) is below this.
 BROADCAST_BOUND = "32m"
@@ -55,3 +55,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Reliable checkpoints go to the configured folder; a local one is set only when none is."""
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(work_dir(spark, "checkpoints"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A small intermediate result kept in the checkpoint folder, so that it is computed once and survives lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
