@@ -238,9 +238,9 @@ def stale_tasks(t):
 @query("N5_running_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")
 def running_counts(t):
     base = work_dir(t.spark, "counts")
-    path = f"{t.sf_dir}/events.parquet"
-    schema = t.spark.read.parquet(path).schema
-    stream = t.spark.readStream.schema(schema).parquet(path).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"))
+    schema = t.raw("events").schema
+    landed = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.sf_dir)
+    stream = landed.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"))
     streams.running_counts(stream, f"{base}/counts", f"{base}/checkpoint").awaitTermination()
     return streams.latest_counts(t.spark, f"{base}/counts").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "kind", "n")
 
