@@ -34,8 +34,10 @@ def main() -> None:
         for warm in (False, True):
             start = time.time()
             queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            took = round(time.time() - start, 3)
+            print(f"{name} {'warm' if warm else 'cold'} {took}", file=sys.stderr, flush=True)
             if warm:
-                times[name] = round(time.time() - start, 3)
+                times[name] = took
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
                       "sf": os.path.basename(sf_dir.rstrip("/")).replace("sf", "")}))
     spark.stop()

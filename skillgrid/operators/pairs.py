@@ -25,20 +25,28 @@ def pair_up(courses: DataFrame, jobs: DataFrame, job_key: str = "job_id", copies
     n = copies or shuffle_width(courses.sparkSession)
     spread = F.pmod(F.xxhash64(job_key), F.lit(n)).cast("int")
     slots = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    return jobs.withColumn("_slot", spread).join(courses.withColumn("_slot", slots), "_slot").drop("_slot")
+    # one row becomes |courses| rows here: spread the jobs over all tasks before, however small they are
+    even = jobs.withColumn("_slot", spread).repartition(n, job_key, "_slot")
+    return even.join(courses.withColumn("_slot", slots), "_slot").drop("_slot")
 
 
 def gap_columns(course: Column, job: Column) -> list[Column]:
+    """Matched, missing and extra skills of two sorted lists; both operations keep the order of their first list."""
     return [
-        F.array_sort(F.array_intersect(job, course)).alias("matched"),
-        F.array_sort(F.array_except(job, course)).alias("missing"),
-        F.array_sort(F.array_except(course, job)).alias("extra"),
+        F.array_intersect(job, course).alias("matched"),
+        F.array_except(job, course).alias("missing"),
+        F.array_except(course, job).alias("extra"),
     ]
 
 
+def in_order(df: DataFrame, skills: str) -> DataFrame:
+    """Sorted distinct skills, once per owner and not once per pair."""
+    return df.withColumn(skills, F.sort_array(F.array_distinct(skills)))
+
+
 def gap(courses: DataFrame, jobs: DataFrame) -> DataFrame:
     """Matched, missing and extra skills of every pair of (course_id, course_skills) and (job_id, job_skills)."""
-    both = pair_up(courses, jobs)
+    both = pair_up(in_order(courses, "course_skills"), in_order(jobs, "job_skills"))
     return both.select("course_id", "job_id", "course_skills", "job_skills",
                        *gap_columns(F.col("course_skills"), F.col("job_skills")))
 
@@ -167,8 +175,8 @@ def ensemble(pairs: DataFrame, semantic: DataFrame, weights=None) -> DataFrame:
 def gap_analysis(course_skills: DataFrame, job_skills: DataFrame, course_conf: DataFrame, job_conf: DataFrame,
                  module_vectors: DataFrame, job_vectors: DataFrame, weights=None) -> DataFrame:
     """The whole run: gap, coverage, semantic score, confidence and final score of every pair."""
-    courses = course_skills.join(confidence_array(course_conf, "course_id", "course_map"), "course_id", "left")
-    jobs = job_skills.join(confidence_array(job_conf, "job_id", "job_map"), "job_id", "left")
+    courses = in_order(course_skills, "course_skills").join(confidence_array(course_conf, "course_id", "course_map"), "course_id", "left")
+    jobs = in_order(job_skills, "job_skills").join(confidence_array(job_conf, "job_id", "job_map"), "job_id", "left")
     pairs = pair_up(courses, jobs)
     matched, missing, extra = gap_columns(F.col("course_skills"), F.col("job_skills"))
     pairs = pairs.select("course_id", "job_id", "course_skills", "job_skills", "course_map", "job_map", matched, missing, extra)

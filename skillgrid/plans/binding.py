@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 
 from skillgrid.functions import scores, skills, text
 from skillgrid.operators import extract, pairs, vectors
+from skillgrid.session import spread
 
 FIRST_WORD = {
     "blue": "financial", "cold": "digital", "hot": "project", "large": "data",
@@ -217,7 +218,7 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.raw("documents")
+        return spread(self.raw("documents"))
 
     @cached_property
     def terms(self) -> DataFrame:

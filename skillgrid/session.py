@@ -61,3 +61,9 @@ def cut(df: DataFrame) -> DataFrame:
     """A small intermediate result kept in the checkpoint folder, so that it is computed once and survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A plain file scan with at least one split per core; scans that have enough splits are left alone."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
