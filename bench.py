@@ -13,11 +13,9 @@ from skillgrid.plans import catalog  # noqa: E402
 from skillgrid.session import build_session  # noqa: E402
 
 HEADLINE = (
-    "B1_normalise_text", "B2_advert_fingerprint", "B3_deduplicate_documents", "B4_advert_sections", "C8_infer_sector", "D1_keyword_skills",
-    "D2_phrase_hits", "D15_skill_matrix", "E1_text_chunks", "E8_course_job_semantic", "F2_skill_gap", "F3_skill_coverage",
-    "F5_matched_confidence", "F8_gap_analysis", "G1_evidence_rows", "G4_document_frequency", "H2_score_buckets", "H4_course_band_heatmap",
-    "H9_skill_suggestions", "H11_skill_correlation", "H16_top_similarities", "H19_skill_association", "H21_yearly_forecast", "H22_evidence_counts",
-    "I7_upserted_aliases", "K4_split_examples", "M1_parsed_pages",
+    "B2_advert_fingerprint", "B3_deduplicate_documents", "C8_infer_sector", "D2_phrase_hits", "E1_text_chunks", "E8_course_job_semantic",
+    "F2_skill_gap", "G4_document_frequency", "H2_score_buckets", "H4_course_band_heatmap", "H11_skill_correlation",
+    "H16_top_similarities", "H22_evidence_counts", "I7_upserted_aliases", "K4_split_examples",
 )
 
 

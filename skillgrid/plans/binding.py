@@ -53,7 +53,7 @@ class Tables:
 
     @cached_property
     def jobs(self) -> DataFrame:
-        o = self.raw("orders")
+        o = spread(self.raw("orders"))
         c = self.raw("customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
         n = self.raw("nation").select("n_nationkey", "n_name")
         posted = F.col("o_orderdate").cast("date")
@@ -125,7 +125,7 @@ class Tables:
     @cached_property
     def job_lines(self) -> DataFrame:
         """Flat skill entities of the jobs, without an order."""
-        l, p = self.raw("lineitem"), self.typed_parts.select("p_partkey", "p_name", "skill", "kind", "entity_id")
+        l, p = spread(self.raw("lineitem")), self.typed_parts.select("p_partkey", "p_name", "skill", "kind", "entity_id")
         j = l.join(p, l.l_partkey == p.p_partkey)
         ner = F.col("l_linestatus") == "F"
         return j.select(
