@@ -11,7 +11,7 @@ from skillgrid.session import work_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step of a task works on; a longer text makes a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 1 << 20
 _U = np.uint64
 
 
@@ -82,7 +82,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the odd base and of its inverse modulo 2**64, up to n."""
     have = _powers.get("t")
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, STEP_BYTES // 2)
+        size = max(n + 1, STEP_BYTES)
         made = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             p = np.full(size, base, np.uint64)
