@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skillgrid.llm import quality
+from skillgrid.llm import line_dedup, quality
 from skillgrid.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -23,3 +23,8 @@ def query(name: str, sql: str | None = None):
 @query("op10_quality_rules")
 def quality_rules(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"))
+
+
+@query("op8_fuzzy_lines")
+def fuzzy_lines(spark, sf_dir):
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
