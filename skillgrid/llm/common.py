@@ -160,3 +160,12 @@ def shingles(words: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarra
         order = np.argsort(owner, kind="stable")
         h, owner = h[order], owner[order]
     return h, owner
+
+
+#: A join side is broadcast only if it has at most this many rows of a few numbers each (some 100 MB).
+BROADCAST_ROWS = 2_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it is proven small by counting it, else as it is, so that Spark shuffles."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -65,10 +65,15 @@ def simhash(words: Column) -> Column:
 
     A line of more than 127 words is cut into runs of 127, and the majorities of the runs vote again.
     """
-    level = [F.transform(words, lambda w: F.xxhash64(w))]
+    return simhash_of(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+def simhash_of(hashes: Column) -> Column:
+    """64-bit SimHash of an array of 64-bit feature hashes; null for none."""
+    level = [hashes]
     for _ in range(4):
         level.append(_pieces(level[-1]))
-    n = F.size(words)
+    n = F.size(hashes)
     out = F.when(n == 0, F.lit(None).cast("long"))
     for k in range(4):
         out = out.when(n <= _PIECE ** (k + 1), _vote(level[k]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skillgrid.llm import line_dedup, quality
+from skillgrid.llm import decontam, line_dedup, near_dedup, pieces, quality
 from skillgrid.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -28,3 +28,21 @@ def quality_rules(spark, sf_dir):
 @query("op8_fuzzy_lines")
 def fuzzy_lines(spark, sf_dir):
     return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_near_duplicates")
+def near_duplicates(spark, sf_dir):
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
+
+
+@query("op3_benchmark_leaks")
+def benchmark_leaks(spark, sf_dir):
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op2_sampled_pieces")
+def sampled_pieces(spark, sf_dir):
+    """Two different segmentations of every text; the ids as their number and a hash."""
+    docs = table(spark, sf_dir, "documents")
+    got = pieces.sample(docs, k=2)
+    return got.select("doc_id", "rank", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "log_inclusion", F.md5("decoded").alias("decoded_md5"))
