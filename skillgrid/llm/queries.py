@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skillgrid.llm import decontam, line_dedup, near_dedup, pieces, quality
+from skillgrid.llm import decontam, language, line_dedup, near_dedup, pieces, quality, token_file
 from skillgrid.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -46,3 +46,13 @@ def sampled_pieces(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     got = pieces.sample(docs, k=2)
     return got.select("doc_id", "rank", F.size("ids").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "log_inclusion", F.md5("decoded").alias("decoded_md5"))
+
+
+@query("op6_language_id")
+def language_id(spark, sf_dir):
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op1_token_file")
+def token_ids(spark, sf_dir):
+    return token_file.round_trip(table(spark, sf_dir, "documents")).drop("ids")
