@@ -106,11 +106,15 @@ def range_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
 class Words:
     """The words of a slice of texts: byte range, text number and 64-bit hash of each, in order."""
 
-    def __init__(self, text: pa.Array, lower: bool = False):
+    def __init__(self, text: pa.Array, lower: bool = False, letters: bool = False):
+        """lower: A-Z as a-z. letters: ASCII characters other than letters and digits part words, too."""
         data, at = bytes_of(text)
+        fold = np.arange(256, dtype=np.uint8)
         if lower:
-            fold = np.arange(256, dtype=np.uint8)
             fold[65:91] += 32
+        if letters:
+            fold[[c for c in range(128) if not chr(c).isalnum()]] = 32
+        if lower or letters:
             data = fold[data]
         self.data, self.at, self.n_texts = data, at, len(at) - 1
         gap = (data == 32) | ((data >= 9) & (data <= 13))

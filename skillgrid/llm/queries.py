@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skillgrid.llm import decontam, language, line_dedup, near_dedup, pieces, quality, token_file
+from skillgrid.llm import decontam, language, licenses, line_dedup, near_dedup, pieces, pii, quality, token_file, toxicity
 from skillgrid.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -56,3 +56,18 @@ def language_id(spark, sf_dir):
 @query("op1_token_file")
 def token_ids(spark, sf_dir):
     return token_file.round_trip(table(spark, sf_dir, "documents")).drop("ids")
+
+
+@query("op9_personal_data")
+def personal_data(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_toxicity_chain")
+def toxicity_chain(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op7_license_scan")
+def license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
