@@ -11,15 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from skillgrid.llm.common import kept
+from skillgrid.llm.common import kept, small
 from skillgrid.llm.components import components
 
 #: Fingerprints within this Hamming distance are all met: 5 blocks leave 2 whole ones, and every pair of blocks is a key.
 RADIUS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 SIMILARITY = 0.9
-#: Members of a key that meet directly; the rest of a larger group meets its leader first, then whatever is still apart.
-NEAR = 15
 _BYTES = 0x0101010101010101
 _LOW = 0x0001010101010101
 _PIECE = 127
@@ -44,16 +42,16 @@ def _vote(hashes: Column) -> Column:
     def add(acc: Column, h: Column) -> Column:
         return F.struct(*[(acc[c] + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_BYTES))).alias(c) for k, c in enumerate(names)], (acc["n"] + 1).alias("n"))
 
-    def finish(acc: Column) -> Column:
-        out = F.lit(0).cast("long")
-        for k, c in enumerate(names):
-            half = F.shiftright(acc["n"] + 1, 1)
-            low = F.shiftrightunsigned(acc[c].bitwiseAND(F.lit((1 << 56) - 1)) + (F.lit(128) - half) * F.lit(_LOW), 7).bitwiseAND(F.lit(_LOW))
-            top = F.when(F.shiftrightunsigned(acc[c], 56) >= half, F.lit(1 << 56)).otherwise(F.lit(0).cast("long"))
-            out = out.bitwiseOR(F.shiftleft(low.bitwiseOR(top), k))
-        return out
+    return F.aggregate(hashes, start, add, lambda acc: _majority([acc[c] for c in names], acc["n"]))
 
-    return F.aggregate(hashes, start, add, finish)
+
+def _majority(counts: list[Column], n: Column) -> Column:
+    out, half = F.lit(0).cast("long"), F.shiftright(n + 1, 1)
+    for k, c in enumerate(counts):
+        low = F.shiftrightunsigned(c.bitwiseAND(F.lit((1 << 56) - 1)) + (F.lit(128) - half) * F.lit(_LOW), 7).bitwiseAND(F.lit(_LOW))
+        top = F.when(F.shiftrightunsigned(c, 56) >= half, F.lit(1 << 56)).otherwise(F.lit(0).cast("long"))
+        out = out.bitwiseOR(F.shiftleft(low.bitwiseOR(top), k))
+    return out
 
 
 def _pieces(hashes: Column) -> Column:
@@ -92,54 +90,84 @@ def _row_key(id: str, text: str) -> Column:
 
 
 def _lines(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(i, k, pos, size, line) of every line with a letter or digit; line is normalised."""
+    """(i, k, pos, h, line) of every line with a letter or digit; line is normalised, h its hash."""
     rows = docs.select(F.col(id).alias("i"), _row_key(id, text).alias("k"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "raw"))
-    return rows.select("i", "k", "pos", F.length("raw").alias("size"), normal_line(F.col("raw")).alias("line")).where("line <> ''")
+    rows = rows.select("i", "k", "pos", normal_line(F.col("raw")).alias("line")).where("line <> ''")
+    return rows.select("i", "k", "pos", F.xxhash64("line").alias("h"), "line")
+
+
+def _fingerprints(lines: DataFrame) -> DataFrame:
+    """(i, k, pos, h, fp): the SimHash of each line, its bit counts summed by a grouped aggregation.
+
+    Pieces of 127 words are counted first; ``simhash`` of the words is the same number.
+    """
+    words = lines.withColumn("row", F.monotonically_increasing_id()).select("i", "k", "pos", "h", "row", F.posexplode(F.split("line", " ")).alias("n", "word"))
+    words = words.select("i", "k", "pos", "h", "row", F.expr(f"n div {_PIECE}").alias("piece"), F.xxhash64("word").alias("x"))
+    sums = [F.sum(F.shiftrightunsigned("x", j).bitwiseAND(F.lit(_BYTES))).alias(f"c{j}") for j in range(8)]
+    votes = words.groupBy("i", "k", "pos", "h", "row", "piece").agg(*sums, F.count("*").alias("n"))
+    votes = votes.select("i", "k", "pos", "h", "row", "piece", _majority([F.col(f"c{j}") for j in range(8)], F.col("n")).alias("vote"))
+    whole = votes.groupBy("i", "k", "pos", "h", "row").agg(F.count("*").alias("pieces"), F.first("vote").alias("one"), F.sort_array(F.collect_list(F.when(F.col("piece") > -1, F.struct("piece", "vote")))).alias("all"))
+    many = F.transform(F.col("all"), lambda v: v["vote"])
+    return whole.select("i", "k", "pos", "h", F.when(F.col("pieces") == 1, F.col("one")).otherwise(simhash_of(many)).alias("fp")).distinct()
 
 
 def _near(u: str, v: str) -> Column:
     return F.bit_count(F.col(u).bitwiseXOR(F.col(v))) <= RADIUS
 
 
-def _alike(pairs: DataFrame, docs: DataFrame, id: str, text: str, similarity: float) -> DataFrame:
+def _alike(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) of line hashes whose lines have an edit similarity of at least ``similarity``."""
-    named = pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct()
-    lines = _lines(docs, id, text).select(F.xxhash64("line").alias("h"), "line").join(named, "h", "left_semi").groupBy("h").agg(F.min("line").alias("line"))
-    lines = kept(lines, "lines")
-    both = pairs.join(lines.select(F.col("h").alias("u"), F.col("line").alias("lu")), "u").join(lines.select(F.col("h").alias("v"), F.col("line").alias("lv")), "v")
+    named = kept(pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct(), "named")
+    texts = kept(lines.select("h", "line").join(small(named), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "texts")
+    both = pairs.join(texts.select(F.col("h").alias("u"), F.col("line").alias("lu")), "u").join(texts.select(F.col("h").alias("v"), F.col("line").alias("lv")), "v")
     both = both.withColumn("allowed", F.floor((1 - F.lit(similarity)) * F.greatest(F.length("lu"), F.length("lv")) + 1e-9).cast("int"))
     both = both.where(F.abs(F.length("lu") - F.length("lv")) <= F.col("allowed"))
     return both.where(F.expr("levenshtein(lu, lv, allowed)") >= 0).select("u", "v")
 
 
-def line_groups(occurrences: DataFrame, docs: DataFrame, id: str, text: str, similarity: float) -> DataFrame:
-    """(node, component) of the line hashes that are linked with another line."""
-    distinct = occurrences.groupBy("h").agg(F.first("fp").alias("fp"))
+def line_groups(prints: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """(node, component) of the line hashes that are linked with another line.
+
+    Every member of a key first meets the key's smallest member; then members of a key that are still
+    in different components meet. Pairs inside a component need no check.
+    """
+    distinct = prints.groupBy("h").agg(F.first("fp").alias("fp"))
     keyed = distinct.select("h", "fp", F.explode(_keys(F.col("fp"))).alias("key"))
-    group = W.partitionBy("key")
-    members = kept(keyed.withColumn("many", F.count("*").over(group)).where("many > 1"), "members")
-    order = group.orderBy("h")
-    met = members.withColumn("others", F.collect_list(F.struct("h", "fp")).over(order.rowsBetween(-NEAR, -1))).withColumn("lead", F.first(F.struct("h", "fp")).over(order))
-    met = met.select("h", "fp", F.explode(F.array_union("others", F.array("lead"))).alias("o"))
-    pairs = met.select(F.col("o.h").alias("u"), F.col("h").alias("v"), F.col("o.fp").alias("fu"), F.col("fp").alias("fv")).where("u <> v").where(_near("fu", "fv")).select("u", "v").distinct()
-    pairs = kept(pairs, "pairs")
-    links = kept(_alike(pairs, docs, id, text, similarity), "links")
+    members = kept(keyed.withColumn("many", F.count("*").over(W.partitionBy("key"))).where("many > 1"), "members")
+    met = members.withColumn("lead", F.min(F.struct("h", "fp")).over(W.partitionBy("key")))
+    pairs = met.select(F.col("lead.h").alias("u"), F.col("h").alias("v"), F.col("lead.fp").alias("fu"), F.col("fp").alias("fv")).where("u <> v").where(_near("fu", "fv"))
+    pairs = kept(pairs.select("u", "v").distinct(), "pairs")
+    links = kept(_alike(pairs, lines, similarity), "links")
     groups = components(links)
-    rest = _apart(members, groups)
+    rest = kept(_apart(members, groups).join(pairs, ["u", "v"], "left_anti"), "pairs")
     if rest.isEmpty():
         return groups
-    more = _alike(kept(rest.join(pairs, ["u", "v"], "left_anti"), "pairs"), docs, id, text, similarity)
-    return components(links.unionByName(more))
+    return components(links.unionByName(_alike(rest, lines, similarity)))
 
 
 def _apart(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs of large keys that lie in different components: members outside the largest component of a key against all others of it."""
-    large = members.where(F.col("many") > NEAR + 1).join(groups, F.col("h") == F.col("node"), "left").select("key", "h", "fp", F.coalesce("component", "h").alias("c"))
+    """Pairs within the radius that share a key but no component.
+
+    Members outside the largest component of a key meet all others of the key that agree with them in one of four parts of
+    the 39 bits outside the key's blocks: 3 flipped bits leave one part whole.
+    """
+    rest = F.coalesce(*[F.when(F.shiftright("key", 32) == k, _join_bits([j for j in range(5) if j not in two])) for k, two in enumerate(combinations(range(5), 2))])
+    large = members.join(groups, F.col("h") == F.col("node"), "left").select("key", "h", "fp", F.coalesce("component", "h").alias("c"))
     sizes = large.groupBy("key", "c").agg(F.count("*").alias("n"))
     top = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("t"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("t.c").alias("top"))
-    large = kept(large.join(top, "key"), "apart")
-    few, all_ = large.where("c <> top"), large.select("key", F.col("h").alias("oh"), F.col("fp").alias("ofp"), F.col("c").alias("oc"))
-    return few.join(all_, "key").where("c <> oc").where(_near("fp", "ofp")).select(F.least("h", "oh").alias("u"), F.greatest("h", "oh").alias("v")).distinct()
+    large = large.join(top, "key").withColumn("rest", rest)
+    large = kept(large.select("key", "h", "fp", "c", "top", F.posexplode(F.array(*[F.shiftright("rest", 10 * j).bitwiseAND(1023) for j in range(4)])).alias("part", "bits")), "apart")
+    few = large.where("c <> top").drop("top")
+    others = large.select("key", "part", "bits", F.col("h").alias("oh"), F.col("fp").alias("ofp"), F.col("c").alias("oc"))
+    return few.join(others, ["key", "part", "bits"]).where("c <> oc").where(_near("fp", "ofp")).select(F.least("h", "oh").alias("u"), F.greatest("h", "oh").alias("v")).distinct()
+
+
+def _join_bits(blocks: list[int]) -> Column:
+    out = F.lit(0).cast("long")
+    for j in blocks:
+        at, size = BLOCKS[j]
+        out = F.shiftleft(out, 13).bitwiseOR(F.shiftrightunsigned("fp", at).bitwiseAND((1 << size) - 1))
+    return out
 
 
 def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -152,9 +180,9 @@ def dropped_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", simil
     known by a 64-bit hash of its normal form. Nulls sort first; rows with the same id and text are one
     document; a null or empty text has nothing to drop; an empty table gives an empty table.
     """
-    lines = _lines(docs, id, text).withColumns({"h": F.xxhash64("line"), "words": F.split("line", " ")})
-    occurrences = kept(lines.select("i", "k", "pos", "h", simhash(F.col("words")).alias("fp")).distinct(), "lines")
-    groups = line_groups(occurrences, docs, id, text, similarity)
+    lines = kept(_lines(docs, id, text), "lines")
+    occurrences = kept(_fingerprints(lines), "prints")
+    groups = line_groups(occurrences, lines, similarity)
     by_hash = occurrences.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("i", "k", "pos")).alias("at"))
     by_hash = kept(by_hash.join(groups, F.col("h") == F.col("node"), "left").select("h", "n", "at", F.coalesce("component", "h").alias("g")), "groups")
     stays = by_hash.groupBy("g").agg(F.sum("n").alias("n"), F.min("at").alias("at")).where("n > 1").select(F.col("g").alias("sg"), F.col("at").alias("stays"))
