@@ -156,10 +156,17 @@ def _apart(members: DataFrame, groups: DataFrame) -> DataFrame:
     sizes = large.groupBy("key", "c").agg(F.count("*").alias("n"))
     top = sizes.groupBy("key").agg(F.max(F.struct("n", "c")).alias("t"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("t.c").alias("top"))
     large = large.join(top, "key").withColumn("rest", rest)
-    large = kept(large.select("key", "h", "fp", "c", "top", F.posexplode(F.array(*[F.shiftright("rest", 10 * j).bitwiseAND(1023) for j in range(4)])).alias("part", "bits")), "apart")
+    large = kept(large.select("key", "h", "fp", "c", "top", "rest", F.posexplode(F.array(*[F.shiftright("rest", 10 * j).bitwiseAND(1023) for j in range(4)])).alias("part", "bits")), "apart")
     few = large.where("c <> top").drop("top")
-    others = large.select("key", "part", "bits", F.col("h").alias("oh"), F.col("fp").alias("ofp"), F.col("c").alias("oc"))
-    return few.join(others, ["key", "part", "bits"]).where("c <> oc").where(_near("fp", "ofp")).select(F.least("h", "oh").alias("u"), F.greatest("h", "oh").alias("v")).distinct()
+    others = large.select("key", "part", "bits", F.col("h").alias("oh"), F.col("fp").alias("ofp"), F.col("c").alias("oc"), F.col("rest").alias("orest"))
+    # each pair at the first key and the first part that it shares only
+    flips = F.col("fp").bitwiseXOR(F.col("ofp"))
+    same = [F.shiftrightunsigned(flips, at).bitwiseAND((1 << size) - 1) == 0 for at, size in BLOCKS]
+    first_key = F.coalesce(*[F.when(same[a] & same[b], k) for k, (a, b) in enumerate(combinations(range(5), 2))])
+    mine, other = F.col("rest"), F.col("orest")
+    first_part = F.coalesce(*[F.when(F.shiftright(mine.bitwiseXOR(other), 10 * j).bitwiseAND(1023) == 0, j) for j in range(4)])
+    met = few.join(others, ["key", "part", "bits"]).where("c <> oc").where(_near("fp", "ofp"))
+    return met.where((F.shiftright("key", 32) == first_key) & (F.col("part") == first_part)).select(F.least("h", "oh").alias("u"), F.greatest("h", "oh").alias("v")).distinct()
 
 
 def _join_bits(blocks: list[int]) -> Column:
