@@ -23,11 +23,11 @@ from skillgrid.llm.common import kept, small, steps
 from skillgrid.session import work_dir
 
 PRECISION = 20
-LANES = 256
-BLOCK_IDS = 1 << 16
-CHECKPOINT_STEPS = 128
+LANES = 1024
+BLOCK_IDS = 1 << 17
+CHECKPOINT_STEPS = 64
 #: Different pre-tokens whose ids a task process keeps; bounds its memory, not its results.
-KEPT_TOKENS = 600_000
+KEPT_TOKENS = 1_500_000
 _U = np.uint64
 _LOW = _U(1 << 31)
 
@@ -39,6 +39,19 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class Overlay(dict):
+    """Entries of one call on top of a full cache."""
+
+    def __init__(self, below: dict):
+        self.below = below
+
+    def __missing__(self, key):
+        return self.below[key]
+
+    def keys(self):
+        return self.below.keys()
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library.
 
@@ -60,9 +73,7 @@ class Encoder:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > KEPT_TOKENS:
-            self.cache = {}
-        cache = self.cache
+        cache = self.cache if len(self.cache) < KEPT_TOKENS else Overlay(self.cache)
         cuts = [t.split(" ") for t in texts]
         new = {c for cut in cuts for c in cut[1:]} - cache.keys()
         odd = {c for c in new if not c or c[0].isspace()}
