@@ -44,7 +44,7 @@ def normalise_text(c: Column) -> Column:
 
 def fingerprint(title, company, recruiter, location, reference, description) -> Column:
     parts = [normalise_text(c) for c in (title, company, recruiter, location, reference)]
-    parts.append(F.left(normalise_text(description), F.lit(1200)))
+    parts.append(normalise_text(description))  # the whole text: adverts that differ late are different
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 

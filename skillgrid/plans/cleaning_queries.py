@@ -24,7 +24,7 @@ def normalise_text(t):
 
 FP_SQL = "sha256(" + " || '|' || ".join(
     [_norm(c) for c in ("title", "company", "recruiter", "location", "job_reference")]
-    + [f"left({_norm('description')}, 1200)"]) + ")"
+    + [_norm("description")]) + ")"
 
 
 @query("B2_advert_fingerprint", f"SELECT job_id, {FP_SQL} AS fingerprint FROM m_job", ("m_job",))
@@ -35,10 +35,10 @@ def advert_fingerprint(t):
 
 
 @query("B3_deduplicate_documents", f"""
-    WITH d AS (SELECT doc_id, source, sha256(left({_norm('text')}, 1200)) AS fingerprint FROM documents)
+    WITH d AS (SELECT doc_id, source, sha256({_norm('text')}) AS fingerprint FROM documents)
     SELECT min(doc_id) AS doc_id, fingerprint FROM d GROUP BY fingerprint""")
 def deduplicate_documents(t):
-    fp = F.sha2(F.left(text.normalise_text(F.col("text")), F.lit(1200)), 256)
+    fp = F.sha2(text.normalise_text(F.col("text")), 256)
     docs = t.documents.select(F.col("doc_id").alias("job_id"), "source", F.lit("").alias("external_id"), fp.alias("fingerprint"))
     return cleaning.unique_adverts(docs).select(F.col("job_id").alias("doc_id"), "fingerprint")
 

@@ -200,3 +200,10 @@ def test_synthetic_adverts_do_not_depend_on_partitions(spark):
     def rows():
         return sorted(tuple(r) for r in readers.synthetic_adverts(spark, 50, roles, [("P", "Q"), ("R", "S")], ["a", "b"], ["x"]).repartition(3).collect())
     assert rows() == rows() and len(rows()) == 50
+
+
+def test_dropped_advert_blocks_no_later_one(spark):
+    from skillgrid.operators.cleaning import unique_adverts
+    rows = [(1, "s", "id1", "X"), (2, "s", "id2", "X"), (3, "s", "id2", "Y"), (4, "s", "", "Y"), (5, "s", None, "Z"), (6, "t", "id1", "W")]
+    got = unique_adverts(spark.createDataFrame(rows, "job_id long, source string, external_id string, fingerprint string"))
+    assert sorted(r["job_id"] for r in got.collect()) == [1, 3, 5, 6]
