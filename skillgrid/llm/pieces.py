@@ -25,9 +25,9 @@ from skillgrid.llm.common import range_hashes, scramble, steps
 BLANK = 0x2581
 #: Largest Gumbel value of a uniform number of 24 bits.
 TOP_NOISE = 17.4
-STEP = 3 << 20
+STEP = 1 << 20
 #: Lattice slots that a task keeps for words it meets again; bounds its memory, not its results.
-KEPT_SLOTS = 1_500_000
+KEPT_SLOTS = 600_000
 _U = np.uint64
 
 
@@ -374,7 +374,7 @@ def sample(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int = 2,
     but for U+2581, which reads as a blank. A text with fewer than ``k`` segmentations
     has them all; an empty or null text has one, of no pieces. Repeated ids with equal texts get equal samples; a null id
     is an id of its own. An empty table gives an empty table. A task holds about 100 bytes for each character of the
-    different words of a slice of 3 MB, or of one longer text, and those of the words before, up to a bound.
+    different words of a slice of 1 MB, or of one longer text, and those of the words before, up to a bound.
     """
 
     path = model
