@@ -101,20 +101,53 @@ def _fingerprints(lines: DataFrame) -> DataFrame:
 
     Pieces of 127 words are counted first; ``simhash`` of the words is the same number.
     """
-    words = lines.withColumn("row", F.monotonically_increasing_id()).select("i", "k", "pos", "h", "row", F.posexplode(F.split("line", " ")).alias("n", "word"))
-    words = words.select("i", "k", "pos", "h", "row", F.expr(f"n div {_PIECE}").alias("piece"), F.xxhash64("word").alias("x"))
+    rows = lines.withColumn("row", F.monotonically_increasing_id()).withColumn("words", F.split("line", " "))
+    words = rows.select("i", "k", "pos", "h", "row", (F.size("words") <= _PIECE).alias("short"), F.posexplode("words").alias("n", "word"))
+    words = words.select("i", "k", "pos", "h", "row", "short", F.expr(f"n div {_PIECE}").alias("piece"), F.xxhash64("word").alias("x"))
     sums = [F.sum(F.shiftrightunsigned("x", j).bitwiseAND(F.lit(_BYTES))).alias(f"c{j}") for j in range(8)]
-    votes = words.groupBy("i", "k", "pos", "h", "row", "piece").agg(*sums, F.count("*").alias("n"))
-    votes = votes.select("i", "k", "pos", "h", "row", "piece", _majority([F.col(f"c{j}") for j in range(8)], F.col("n")).alias("vote"))
-    whole = votes.groupBy("i", "k", "pos", "h", "row").agg(F.count("*").alias("pieces"), F.first("vote").alias("one"), F.sort_array(F.collect_list(F.when(F.col("piece") > -1, F.struct("piece", "vote")))).alias("all"))
-    many = F.transform(F.col("all"), lambda v: v["vote"])
-    return whole.select("i", "k", "pos", "h", F.when(F.col("pieces") == 1, F.col("one")).otherwise(simhash_of(many)).alias("fp")).distinct()
+    votes = words.groupBy("i", "k", "pos", "h", "row", "short", "piece").agg(*sums, F.count("*").alias("n"))
+    votes = votes.select("i", "k", "pos", "h", "short", "piece", _majority([F.col(f"c{j}") for j in range(8)], F.col("n")).alias("vote"))
+    # a repeated row has the same votes once more
+    one = votes.where("short").groupBy("i", "k", "pos", "h").agg(F.min("vote").alias("fp"))
+    many = votes.where("NOT short").groupBy("i", "k", "pos", "h").agg(F.sort_array(F.collect_set(F.struct("piece", "vote"))).alias("all"))
+    return one.unionByName(many.select("i", "k", "pos", "h", simhash_of(F.transform("all", lambda v: v["vote"])).alias("fp")))
 
 
 def _near(u: str, v: str) -> Column:
     return F.bit_count(F.col(u).bitwiseXOR(F.col(v))) <= RADIUS
 
 
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _past_common(pair: Column) -> Column:
+    """The word lists u and v of a struct without their common first words but one, both turned round."""
+    differs = F.array_position(F.zip_with(pair["u"], pair["v"], lambda a, b: a.eqNullSafe(b)), False)
+
+    def tail(side: str, at: Column) -> Column:
+        return F.reverse(F.slice(pair[side], at, F.size(pair[side]))).alias(side)
+
+    return _let(F.greatest(differs - 1, F.lit(1)).cast("int"), lambda at: F.struct(tail("u", at), tail("v", at)))
+
+
+def edit_alike(u: Column, v: Column, allowed: Column) -> Column:
+    """Whether the edit distance of two lines of words parted by single blanks is at most ``allowed``.
+
+    Equal words at both ends but the innermost are cut off, which leaves the distance as it is. If as many words
+    remain on both sides, the letters of the words that differ are an upper bound; beyond it the distance is worked out.
+    """
+    def close(w: Column) -> Column:
+        letters = F.zip_with(w["u"], w["v"], lambda a, b: F.when(a == b, 0).otherwise(F.greatest(F.length(a), F.length(b))))
+        bound = F.aggregate(letters, F.lit(0), lambda x, y: x + y)
+        distance = F.call_function("levenshtein", F.array_join(w["u"], " "), F.array_join(w["v"], " "), allowed)
+        return F.when((F.size(w["u"]) == F.size(w["v"])) & (bound <= allowed), True).otherwise(distance >= 0)
+
+    words = F.struct(F.split(u, " ").alias("u"), F.split(v, " ").alias("v"))
+    return _let(words, lambda w: _let(_past_common(w), lambda x: _let(_past_common(x), close)))
+
+
 def _alike(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) of line hashes whose lines have an edit similarity of at least ``similarity``."""
     named = kept(pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct(), "named")
@@ -122,7 +155,7 @@ def _alike(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     both = pairs.join(texts.select(F.col("h").alias("u"), F.col("line").alias("lu")), "u").join(texts.select(F.col("h").alias("v"), F.col("line").alias("lv")), "v")
     both = both.withColumn("allowed", F.floor((1 - F.lit(similarity)) * F.greatest(F.length("lu"), F.length("lv")) + 1e-9).cast("int"))
     both = both.where(F.abs(F.length("lu") - F.length("lv")) <= F.col("allowed"))
-    return both.where(F.expr("levenshtein(lu, lv, allowed)") >= 0).select("u", "v")
+    return both.where(edit_alike(F.col("lu"), F.col("lv"), F.col("allowed"))).select("u", "v")
 
 
 def line_groups(prints: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
