@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from skillgrid.llm.common import kept, small
 from skillgrid.llm.components import components
+from skillgrid.session import shuffle_width
 
 #: Fingerprints within this Hamming distance are all met: 5 blocks leave 2 whole ones, and every pair of blocks is a key.
 RADIUS = 3
@@ -152,7 +153,8 @@ def _alike(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
     """The pairs (u, v) of line hashes whose lines have an edit similarity of at least ``similarity``."""
     named = kept(pairs.select(F.col("u").alias("h")).unionByName(pairs.select(F.col("v").alias("h"))).distinct(), "named")
     texts = kept(lines.select("h", "line").join(small(named), "h", "left_semi").groupBy("h").agg(F.min("line").alias("line")), "texts")
-    both = pairs.join(texts.select(F.col("h").alias("u"), F.col("line").alias("lu")), "u").join(texts.select(F.col("h").alias("v"), F.col("line").alias("lv")), "v")
+    spread = pairs.repartition(shuffle_width(pairs.sparkSession), "u", "v")
+    both = spread.join(texts.select(F.col("h").alias("u"), F.col("line").alias("lu")), "u").join(texts.select(F.col("h").alias("v"), F.col("line").alias("lv")), "v")
     both = both.withColumn("allowed", F.floor((1 - F.lit(similarity)) * F.greatest(F.length("lu"), F.length("lv")) + 1e-9).cast("int"))
     both = both.where(F.abs(F.length("lu") - F.length("lv")) <= F.col("allowed"))
     return both.where(edit_alike(F.col("lu"), F.col("lv"), F.col("allowed"))).select("u", "v")
