@@ -186,6 +186,17 @@ def test_csv_encoding_and_required_columns(spark, tmp_path):
         readers.read_adverts_csv(spark, str(bad))
 
 
+def test_csv_encoding_of_each_file(spark, tmp_path):
+    for name, data in [
+            ("u", "title,description\nCafé Zürich 東京,\"two\nlines\"\nodd � mark,\n".encode()),
+            ("l", "title,description\nCaf\xe9 Z\xfcrich,x\n".encode("latin-1")),
+            ("b", "\ufefftitle,description\nnaïve 東京,x\n".encode())]:
+        (tmp_path / f"{name}.csv").write_bytes(data)
+    got = readers.read_adverts_csv(spark, str(tmp_path))
+    assert sorted(r.title for r in got.collect()) == sorted(["Café Zürich 東京", "odd � mark", "Café Zürich", "naïve 東京"])
+    assert "two\nlines" in [r.description for r in got.collect()]
+
+
 def test_candidate_does_not_count_until_approved(spark):
     base = [("m", 0, "e1", "c1", "accounting", "SKILL", "x", "business", "legacy", None, 1, "accounting", "legacy"),
             ("m", 1, "e2", "c2", "sap financial accounting", "SKILL", "candidate", "business", "model", 0.5, 1, "sap", "candidate")]
