@@ -84,7 +84,7 @@ def count_grams(docs: DataFrame, text: str, lang: str, order: int, lower: bool =
         raise ValueError("order must lie between 2 and 6")
 
     def count(batches):
-        for batch in steps(batches, "t", 4 << 20):
+        for batch in steps(batches, "t", 2 << 20):
             langs = batch.column("g").dictionary_encode()
             codes, bounds = code_points(batch.column("t"), order - 1, lower)
             owner, cols, n = _grams(codes, bounds, order, langs.indices.to_numpy(zero_copy_only=False).astype(np.int64))

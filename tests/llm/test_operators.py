@@ -93,6 +93,25 @@ def test_quality_rules(odd, empty):
     assert quality.keep_good(odd).columns == odd.columns
 
 
+def test_perplexity_bands_reject_junk(spark):
+    """Gibberish and over-repetitive text of each language goes, also if one hot source is full of it; clean rows stay."""
+    rng = np.random.default_rng(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    texts = docs.collect()
+    clean = {r["doc_id"] for r in texts if sum(map((r["text"] or "").count, "#*$%&|<>")) == 0}
+    plant, letters = [], list("abcdefghijklmnopqrstuvwxyz")
+    for k, g in enumerate(sorted({r["lang"] for r in texts})):
+        top = [w for w, _ in Counter(w for r in texts if r["lang"] == g for w in r["text"].split()).most_common(2)]
+        for j in range(3):
+            plant.append((20_000 + 10 * k + j, " ".join("".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(80)), g, f"src{j}"))
+            plant.append((30_000 + 10 * k + j, " ".join(rng.choice(top, 120)), g, f"src{j}"))
+    plant += [(40_000 + j, " ".join("".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(80)), "en", "hot") for j in range(600)]
+    got = {r["doc_id"]: r for r in quality.quality(docs.unionByName(spark.createDataFrame(plant, docs.schema))).collect()}
+    assert [i for i, *_ in plant if got[i]["kept"] or got[i]["perplexity_low"] <= got[i]["perplexity"] <= got[i]["perplexity_high"]] == []
+    good = [i for i in clean if not got[i]["base_failed"]]
+    assert sum(got[i]["kept"] for i in good) > 0.97 * len(good)
+
+
 def normal(line):
     import unicodedata
     folded = "".join("0" if unicodedata.category(c)[0] == "N" else c for c in line.lower())
