@@ -9,11 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillgrid.llm.common import Words, shingles, steps
+from skillgrid.llm.common import Words, steps
 
 COVERAGE = 0.8
-#: Words of a row that a template and a text must share somewhere before they are aligned.
-ANCHOR = 3
 # Wording of common public license notices.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -101,9 +99,10 @@ def densest(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, id: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """(id, license, coverage, first_word, n_words, matched) of every template found in a text.
 
-    Words are lower-cased (A-Z) and parted by white space and ASCII punctuation. Each place where a text
-    shares a run of 3 words with a template (or a whole shorter template) opens a region as wide as the template on both sides;
-    regions that touch are one, and each is aligned by itself, so a template can be found several times. Found: at least ``coverage`` of the template's words in one dense run. Equal or nested templates are all
+    Words are lower-cased (A-Z) and parted by white space and ASCII punctuation. Found: at least ``coverage`` of the template's
+    words in one dense run. So few words may be missing that one of a template's seeds (its longest words, one more than may be missing) must
+    stand in the text; each seed is aligned in windows around one copy, from tight to as wide as the template on both sides,
+    then all that lies between found copies at once. So a template can be found several times, also in a row. Equal or nested templates are all
     reported. Templates are a parameter, held by every task. A null or empty text holds nothing; a null id stays null;
     repeated rows are scanned one by one; an empty table gives an empty table.
     """
@@ -112,19 +111,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id: str = "do
     def run(batches):
         hashes, first = _words(pa.array([t for _, t in named], pa.string()))
         parts = [hashes[a:b] for a, b in zip(first[:-1], first[1:])]
-        marks = [(min(ANCHOR, len(p)), np.unique(shingles(p, np.array([0, len(p)]), min(ANCHOR, len(p)))[0])) for p in parts]
+        seeds = [_seeds(named[k][1], p, coverage) for k, p in enumerate(parts)]
         for batch in steps(batches, "t"):
             words, bounds = _words(batch.column("t"))
-            by_size = {}
+            every = np.unique(words)
             rows = []
-            for k, (size, mark) in enumerate(marks):
-                if not size:
-                    continue
-                if size not in by_size:
-                    by_size[size] = _runs(words, bounds, size)
-                h, place = by_size[size]
-                at = place[np.isin(h, mark)]
-                if len(at):
+            for k, seed in enumerate(seeds):
+                if len(seed) and np.isin(parts[k][seed], every).any():
+                    at = np.flatnonzero(np.isin(words, parts[k][seed]))
                     rows += _found(words, bounds, at, parts[k], k, coverage)
             if rows:
                 who, kinds, shares, starts, sizes, matched = zip(*sorted(rows))
@@ -137,34 +131,70 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id: str = "do
     return rows.mapInArrow(run, f"i {kind}, license string, coverage double, first_word int, n_words int, matched int").withColumnRenamed("i", id)
 
 
-def _runs(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of exactly ``size`` words, and the place of their first word in the slice."""
-    n = np.diff(bounds)
-    full = np.where(n >= size, n - size + 1, 0)
-    h, owner = shingles(words, bounds, size)
-    h = h[n[owner] >= size] if len(h) else h
-    place = np.repeat(bounds[:-1], full) + np.arange(int(full.sum())) - np.repeat(np.cumsum(full) - full, full)
-    return h, place
+def _need(size: int, coverage: float) -> int:
+    """Fewest matched words that are found."""
+    return max(1, int(np.ceil(coverage * size - 1e-9)))
+
+
+def _seeds(text: str, template: np.ndarray, coverage: float) -> np.ndarray:
+    """Places of the longest words of a template, one more than may be missing."""
+    w = Words(pa.array([text], pa.string()), lower=True, letters=True)
+    return np.argsort(w.start - w.end, kind="stable")[:len(template) - _need(len(template), coverage) + 1] if len(template) else np.zeros(0, np.int64)
 
 
 def _found(words, bounds, at, template, k, coverage):
-    size = len(template)
+    size, out, n = len(template), [], 0
+    need = _need(size, coverage)
     owner = np.searchsorted(bounds, at, "right") - 1
-    lo, hi = np.maximum(at - size, bounds[owner]), np.minimum(at + 2 * size, bounds[owner + 1])
-    out, n = [], 0
+    lo, hi = np.maximum(at - 2 * size, bounds[owner]), np.minimum(at + 2 * size, bounds[owner + 1])
+    known = np.concatenate([[0], np.cumsum(np.isin(words, template))])
+    names, most = np.unique(template, return_counts=True)
+    places = {w: np.flatnonzero(template == w) for w in names.tolist()}
+
+    def enough(a: int, b: int) -> bool:
+        """Whether the words of a window can hold the template, in any order."""
+        if known[b] - known[a] < need:
+            return False
+        here = words[a:b]
+        place = np.searchsorted(names, here)
+        place = place[names[np.minimum(place, len(names) - 1)] == here]
+        return int(np.minimum(np.bincount(place, minlength=len(names)), most).sum()) >= need
+
+    def best(a: int, b: int) -> list[tuple[int, int]]:
+        run = densest(align(template, words[a:b]), size) if b > a and enough(a, b) else []
+        return [(p, q + a) for p, q in run] if len(run) >= need else []
+
     while n < len(at):
-        a, b, t = lo[n], hi[n], owner[n]
+        a, b, t, first = int(lo[n]), int(hi[n]), owner[n], n
         while n + 1 < len(at) and owner[n + 1] == t and lo[n + 1] <= b:
             n += 1
-            b = hi[n]
+            b = int(hi[n])
         n += 1
-        rest = [(a, b)]
-        while rest:
-            a, b = rest.pop()
-            run = densest(align(template, words[a:b]), size) if b > a else []
-            if len(run) < coverage * size or not run:
+        if not enough(a, b):
+            continue
+        runs, done = [], a
+        for s in at[first:n].tolist():
+            if s < done or not enough(max(done, s - 2 * size), min(b, s + 2 * size)):
                 continue
-            begin, end = int(a + run[0][1]), int(a + run[-1][1] + 1)
-            out.append((int(t), k, len(run) / size, begin - int(bounds[t]), end - begin, len(run)))
-            rest += [(a, begin), (end, b)]
+            tries = []
+            for slack in (0, size - need + 1, size):
+                for p in places[int(words[s])].tolist():
+                    tries.append(best(max(done, s - p - slack), min(b, s - p + size + slack)))
+                if len(max(tries, key=len)) == size:
+                    break
+            # many words of the template in a short stretch, so that no run takes words of two copies
+            run = max(tries, key=lambda r: (bool(r), 2 * len(r) - (r[-1][1] + 1 - r[0][1] if r else 0), len(r)))
+            if run:
+                runs.append(run)
+                done = run[-1][1] + 1
+        # what lies between the copies, for copies with long gaps
+        ends = [(a, a), *[(r[0][1], r[-1][1] + 1) for r in runs], (b, b)]
+        rest = [(x[1], y[0]) for x, y in zip(ends[:-1], ends[1:])]
+        while rest:
+            c, d = rest.pop()
+            run = best(c, d)
+            if run:
+                runs.append(run)
+                rest += [(c, run[0][1]), (run[-1][1] + 1, d)]
+        out += [(int(t), k, len(r) / size, r[0][1] - int(bounds[t]), r[-1][1] + 1 - r[0][1], len(r)) for r in runs]
     return out

@@ -375,6 +375,16 @@ def test_licenses(spark, odd, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_repeated_and_shortened_licenses(spark):
+    """Copies in a row inside a text, and templates with a word missing or words between."""
+    notice, mit = licenses.TEMPLATES["mit-notice"], "Released under the MIT License. "
+    rows = [(1, f"intro words {mit}{mit}more", "en"), (2, "it is Released under MIT License today", "en"), (3, "x Released now under y the z MIT w License", "en"),
+            (4, f"a b {notice} {notice} {notice} c", "en"), (5, "the license was released under the bridge", "en"), (6, f"{mit * 5}end", "en"), (7, f"Released under MIT License. {mit}end", "en")]
+    got = sorted((r["doc_id"], r["license"], r["first_word"], r["matched"]) for r in licenses.scan(frame(spark, rows)).collect())
+    n = len(re.findall("[A-Za-z]+", notice))
+    assert got == [(1, "mit", 2, 5), (1, "mit", 7, 5), (2, "mit", 2, 4), (3, "mit", 1, 5), *[(4, "mit-notice", 2 + k * n, n) for k in range(3)], *[(6, "mit", 5 * k, 5) for k in range(5)], (7, "mit", 0, 4), (7, "mit", 4, 5)]
+
+
 def test_patience_alignment():
     assert licenses.longest_rising([3, 1, 4, 1, 5, 9, 2, 6]) == [1, 2, 4, 7] or len(licenses.longest_rising([3, 1, 4, 1, 5, 9, 2, 6])) == 4
     pairs = licenses.align(np.array([1, 2, 3, 4, 5]), np.array([9, 1, 2, 8, 4, 5]))
