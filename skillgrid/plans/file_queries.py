@@ -181,14 +181,23 @@ def embedded_export(t):
 
 # ---- streams -----------------------------------------------------------------------------------
 
+#: Pages in a landed file at most.
+PAGES_PER_FILE = 2000
+
+
+def _land(pages, path):
+    """Writes landed pages with the partitions they have."""
+    pages.write.option("maxRecordsPerFile", PAGES_PER_FILE).json(path)
+
+
 @query("N1_continuous_ingest", "SELECT CAST(job_id AS VARCHAR) AS external_id, company, location FROM m_job", ("m_job",))
 def continuous_ingest(t):
-    """All pages land twice; every advert is stored once."""
+    """All pages land twice, the second time after the first was stored; every advert is stored once."""
     base = work_dir(t.spark, "ingest")
     p = cut(_pages(t))
-    p.coalesce(2).write.json(f"{base}/landing/a")
-    p.coalesce(1).write.json(f"{base}/landing/b")
-    streams.ingest_adverts(t.spark, f"{base}/landing/*", f"{base}/adverts", f"{base}/checkpoint").awaitTermination()
+    for part in ("a", "b"):
+        _land(p, f"{base}/landing/{part}")
+        streams.ingest_adverts(t.spark, f"{base}/landing/*", f"{base}/adverts", f"{base}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{base}/adverts").select("external_id", "company", "location")
 
 
@@ -196,7 +205,7 @@ def continuous_ingest(t):
 def live_pipeline(t):
     """New adverts of every batch are scored against all courses; earlier ones are left alone."""
     base = work_dir(t.spark, "live")
-    cut(_pages(t)).coalesce(2).write.json(f"{base}/landing")
+    p = cut(_pages(t))
     skills_of = t.job_skills
 
     def score(new, batch_id):
@@ -204,7 +213,9 @@ def live_pipeline(t):
         done = pairs.overlap_results(t.course_skills, skills_of.join(ids, "job_id"))
         done.select("course_id", "job_id", "similarity_score").write.mode("overwrite").parquet(f"{base}/results/batch={batch_id}")
 
-    streams.ingest_adverts(t.spark, f"{base}/landing", f"{base}/adverts", f"{base}/checkpoint", after=score).awaitTermination()
+    for k in range(2):
+        _land(p.where(F.col("page") % 2 == k), f"{base}/landing/{k}")
+        streams.ingest_adverts(t.spark, f"{base}/landing/*", f"{base}/adverts", f"{base}/checkpoint", after=score).awaitTermination()
     return t.spark.read.parquet(f"{base}/results").select("course_id", "job_id", "similarity_score")
 
 
