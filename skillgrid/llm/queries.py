@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skillgrid.llm import decontam, language, licenses, line_dedup, near_dedup, pieces, pii, quality, token_file, toxicity
+from skillgrid.llm import decontam, language, licenses, line_dedup, near_dedup, pieces, pii, quality, token_file, toxicity, vector_codes, whitening
 from skillgrid.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -71,3 +71,14 @@ def toxicity_chain(spark, sf_dir):
 @query("op7_license_scan")
 def license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query("op11_vector_codes")
+def vector_code_table(spark, sf_dir):
+    codes, books = vector_codes.encode(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
+
+
+@query("op12_whitened_embeddings")
+def whitened_embeddings(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))[0]
