@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skillgrid.llm import decontam, language, licenses, line_dedup, near_dedup, pieces, pii, quality, token_file, toxicity, vector_codes, whitening
+from skillgrid.llm import decontam, language, licenses, line_dedup, near_dedup, packing, pieces, pii, quality, token_file, toxicity, vector_codes, whitening
 from skillgrid.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -82,3 +82,8 @@ def vector_code_table(spark, sf_dir):
 @query("op12_whitened_embeddings")
 def whitened_embeddings(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"))[0]
+
+
+@query("op13_packed_sequences")
+def packed_sequences(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents")).pieces.drop("row")
