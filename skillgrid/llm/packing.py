@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -25,6 +25,8 @@ SHARD_TOKENS, TASK_TOKENS = 1 << 19, 1 << 23
 K1, B = 1.2, 0.75
 #: Bytes of text encoded at once; different words that a task process keeps (bounds its memory, not its results); longest word kept.
 TEXT_BYTES, KEPT_WORDS, LONGEST = 1 << 21, 1_500_000, 64
+#: A control sign between words that are encoded together, and how many of them are.
+MARK, LINE = "\x01", 64
 _U = np.uint64
 
 
@@ -52,6 +54,7 @@ class WordEncoder:
         self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self._clear()
+        self.mark = self._library([MARK])[0]
         codes = np.arange(256, dtype=np.uint8)
         self.fold = np.where((codes >= 65) & (codes <= 90), codes + 32, codes).astype(np.uint8)
         self.letter = np.array([chr(c).isalpha() and c < 128 for c in range(256)])
@@ -63,11 +66,20 @@ class WordEncoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _store(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Encodes words behind the ids kept so far; where each begins, and its number of ids."""
-        got = self._library(texts)
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words in a row, and the number of ids of each. Words go to the library together, parted by a sign that none of them has."""
+        if len(self.mark) == 1 and not any(MARK in w for w in words):
+            lines = [f" {MARK} ".join([*words[i:i + LINE], ""]) for i in range(0, len(words), LINE)]
+            ids = np.concatenate([np.array(x, self.kind) for x in self._library(lines)] or [np.zeros(0, self.kind)])
+            marks = np.flatnonzero(ids == self.mark[0])
+            return ids[ids != self.mark[0]], np.diff(marks, prepend=-1) - 1
+        got = self._library(words)
         n = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((x for ids in got for x in ids), self.kind, int(n.sum()))
+        return np.fromiter((x for ids in got for x in ids), self.kind, int(n.sum())), n
+
+    def _store(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes words behind the ids kept so far; where each begins, and its number of ids."""
+        flat, n = self._each(words)
         if self.filled + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(flat)), self.kind)])
         at = self.filled + np.cumsum(n) - n
@@ -360,7 +372,7 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | No
     A null or empty text has the end id only. Null and repeated ids are kept, each row is a document. Ties of scores follow the order of the shard, which is fixed by the ids of
     the tokens and the row. An empty table has no pieces. Very long texts are encoded in a step of their own. Other columns are left out, so their names don't matter.
     """
-    spark: SparkSession = docs.sparkSession
+    task_tokens = max(task_tokens, 8 * window)  # a task leaves less than a window, so each round leaves an eighth at most
     table = kept(_tokenise(docs, id, text, path, end, window), "tokens")
     counts = {r["row"]: r["n"] for r in table.where("kind = 2").groupBy("row").agg(F.sum("length").alias("n")).collect()}  # as many as the vocabulary at most
     encoder = WordEncoder(path or vocabulary_path())
