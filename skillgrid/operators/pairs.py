@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from skillgrid.functions import constants as K
 from skillgrid.functions import scores
@@ -20,13 +21,15 @@ def pair_up(courses: DataFrame, jobs: DataFrame, job_key: str = "job_id", copies
 
     The result holds |courses| x |jobs| rows by definition. Courses are copied once per slot and
     met by an equi-join on the slot, so each task sees one share of the jobs whatever the size of
-    either side; a small course table is broadcast by Spark itself, after measuring it.
+    either side; a small course table is broadcast by Spark itself, after measuring it. With ``copies`` a
+    slot's jobs stay together, so that results split by slot are written as whole files.
     """
     n = copies or shuffle_width(courses.sparkSession)
     spread = F.pmod(F.xxhash64(job_key), F.lit(n)).cast("int")
     slots = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # one row becomes |courses| rows here: spread the jobs over all tasks before, however small they are
-    even = jobs.withColumn("_slot", spread).repartition(n, job_key, "_slot")
+    keys = ["_slot"] if copies else [job_key, "_slot"]
+    even = jobs.withColumn("_slot", spread).repartition(n, *keys)
     return even.join(courses.withColumn("_slot", slots), "_slot").drop("_slot")
 
 
@@ -106,44 +109,50 @@ def block_count(rows: DataFrame, per_block: int = 20_000) -> int:
     return max(1, math.ceil(rows.count() / per_block))
 
 
-def semantic_scores(modules: DataFrame, jobs: DataFrame, top: int = K.TOP_MODULES,
-                    job_blocks: int | None = None, module_blocks: int | None = None) -> DataFrame:
-    """Mean of the best ``top`` module similarities per course and job.
+def numbered(courses: DataFrame) -> DataFrame:
+    """The different courses with a place from 0 on, by id; a catalogue, not a table that grows with the jobs."""
+    ids = courses.select("course_id").distinct()
+    return ids.withColumn("place", F.row_number().over(W.orderBy("course_id")) - 1)
+
+
+def semantic_rows(modules: DataFrame, jobs: DataFrame, places: DataFrame, top: int = K.TOP_MODULES,
+                  job_blocks: int | None = None, module_blocks: int | None = None) -> DataFrame:
+    """(job_id, semantic): one row per job with the mean of the best ``top`` module similarities of every course, by the course's place.
 
     ``modules``: course_id, module_id, vector; ``jobs``: job_id, vector. Both sides are hashed into
     blocks of bounded size, every job block meets every module block in one task as a matrix product,
     and the best values of a course split over several module blocks are merged afterwards. No group
-    grows with the data, whatever the size of a course.
+    grows with the data, whatever the size of a course. Courses without modules have null.
     """
     jb = job_blocks or max(shuffle_width(jobs.sparkSession), block_count(jobs))
     mb = module_blocks or block_count(modules)
-    out = T.StructType([
-        T.StructField("course_id", modules.schema["course_id"].dataType),
-        T.StructField("job_id", jobs.schema["job_id"].dataType),
-        T.StructField("best", T.ArrayType(T.DoubleType())),
-    ])
-
-    def unit(rows):
-        m = np.asarray(rows, dtype="float64")
+    out = T.StructType([T.StructField("job_id", jobs.schema["job_id"].dataType), T.StructField("best", T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+    def unit(column):
+        m = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
         size = np.sqrt((m * m).sum(axis=1, keepdims=True))
         return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
-    def score(job_part: pd.DataFrame, module_part: pd.DataFrame) -> pd.DataFrame:
-        if job_part.empty or module_part.empty:
-            return pd.DataFrame({"course_id": [], "job_id": [], "best": []})
-        module_part = module_part.sort_values("course_id")
-        matrix = unit(module_part["vector"].tolist()).T
-        course_ids, starts = np.unique(module_part["course_id"].to_numpy(), return_index=True)
-        stops = list(starts[1:]) + [len(module_part)]
+    def score(job_part: pa.Table, module_part: pa.Table) -> pa.Table:
+        empty = pa.table({"job_id": job_part["job_id"].slice(0, 0), "best": pa.array([], pa.list_(pa.list_(pa.float64())))})
+        if not job_part.num_rows or not module_part.num_rows:
+            return empty
+        module_part = module_part.sort_by("place")
+        matrix = unit(module_part["vector"]).T
+        places, starts, counts = np.unique(module_part["place"].to_numpy(), return_index=True, return_counts=True)
+        width = np.zeros(int(places[-1]) + 1, np.int64)
+        width[places] = np.minimum(counts, top)
         parts = []
-        for at in range(0, len(job_part), 2048):
-            piece = job_part.iloc[at:at + 2048]
-            sims = np.clip(unit(piece["vector"].tolist()) @ matrix, 0.0, 1.0)
-            for course, lo, hi in zip(course_ids, starts, stops):
-                best = -np.sort(-sims[:, lo:hi], axis=1)[:, :top]
-                parts.append(pd.DataFrame({
-                    "course_id": course, "job_id": piece["job_id"].to_numpy(), "best": list(best)}))
-        return pd.concat(parts, ignore_index=True)
+        for at in range(0, job_part.num_rows, 2048):
+            piece = job_part.slice(at, 2048)
+            sims = np.clip(unit(piece["vector"]) @ matrix, 0.0, 1.0)
+            best = [-np.sort(-sims[:, lo:lo + n], axis=1)[:, :top] for lo, n in zip(starts, counts)]
+            flat = pa.array(np.concatenate(best, axis=1).ravel())
+            inner = np.concatenate([[0], np.cumsum(np.tile(width, len(sims)))]).astype(np.int32)
+            outer = (np.arange(len(sims) + 1) * len(width)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), flat))
+            parts.append(pa.table({"job_id": piece["job_id"], "best": lists}))
+        return pa.concat_tables(parts)
 
     def slot(key, n):
         return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
@@ -152,37 +161,53 @@ def semantic_scores(modules: DataFrame, jobs: DataFrame, top: int = K.TOP_MODULE
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
     left = jobs.select("job_id", "vector", slot("job_id", jb).alias("js"), every(mb).alias("ms"))
-    right = modules.select("course_id", "vector", slot("module_id", mb).alias("ms"), every(jb).alias("js"))
-    best = left.groupBy("js", "ms").cogroup(right.groupBy("js", "ms")).applyInPandas(score, schema=out)
+    right = modules.join(places, "course_id").select("place", "vector", slot("module_id", mb).alias("ms"), every(jb).alias("js"))
+    best = left.groupBy("js", "ms").cogroup(right.groupBy("js", "ms")).applyInArrow(score, schema=out)
     if mb > 1:
-        ranked = F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, top)
-        best = best.groupBy("course_id", "job_id").agg(ranked.alias("best"))
-    mean = F.aggregate("best", F.lit(0.0), lambda s, x: s + x) / F.size("best")
-    return best.select("course_id", "job_id", mean.alias("semantic_score"))
+        each = best.select("job_id", F.posexplode("best").alias("place", "best")).groupBy("job_id", "place").agg(
+            F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, top).alias("best"))
+        best = each.groupBy("job_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "best"))), lambda x: x["best"]).alias("best"))
+    mean = F.transform("best", lambda b: F.when(F.size(b) > 0, F.aggregate(b, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(b), F.lit(1))))
+    return best.select("job_id", mean.alias("semantic"))
 
 
-def ensemble(pairs: DataFrame, semantic: DataFrame, weights=None) -> DataFrame:
-    """Breakdown and final score of pairs that carry matched skills and a confidence score."""
-    joined = pairs.join(semantic, ["course_id", "job_id"], "left")
+def semantic_scores(modules: DataFrame, jobs: DataFrame, top: int = K.TOP_MODULES,
+                    job_blocks: int | None = None, module_blocks: int | None = None) -> DataFrame:
+    """Mean of the best ``top`` module similarities per course and job, one row per pair."""
+    places = numbered(modules)
+    rows = semantic_rows(modules, jobs, places, top, job_blocks, module_blocks)
+    each = rows.select("job_id", F.posexplode("semantic").alias("place", "semantic_score")).where("semantic_score IS NOT NULL")
+    return each.join(places, "place").select("course_id", "job_id", "semantic_score")
+
+
+def ensemble(pairs: DataFrame, weights=None) -> DataFrame:
+    """Breakdown and final score of pairs that carry matched skills, a semantic and a confidence score."""
     parts = scores.score_breakdown(
         F.coalesce("semantic_score", F.lit(0.0)),
         scores.coverage(F.size("matched"), F.size("job_skills")),
         F.coalesce("confidence_score", F.lit(0.0)), weights)
-    return joined.withColumn("score_breakdown", parts).withColumn(
+    return pairs.withColumn("score_breakdown", parts).withColumn(
         "similarity_score", F.col("score_breakdown.final_score"))
 
 
 def gap_analysis(course_skills: DataFrame, job_skills: DataFrame, course_conf: DataFrame, job_conf: DataFrame,
-                 module_vectors: DataFrame, job_vectors: DataFrame, weights=None) -> DataFrame:
-    """The whole run: gap, coverage, semantic score, confidence and final score of every pair."""
-    courses = in_order(course_skills, "course_skills").join(confidence_array(course_conf, "course_id", "course_map"), "course_id", "left")
+                 module_vectors: DataFrame, job_vectors: DataFrame, weights=None, job_blocks: int | None = None) -> DataFrame:
+    """The whole run: gap, coverage, semantic score, confidence and final score of every pair.
+
+    Everything that belongs to a job, its semantic scores with all courses among it, meets in one row by the job's id; courses come to the
+    jobs and rows are multiplied last, so no table of pairs is ever shuffled.
+    """
+    places = numbered(course_skills)
+    courses = in_order(course_skills, "course_skills").join(confidence_array(course_conf, "course_id", "course_map"), "course_id", "left").join(places, "course_id")
     jobs = in_order(job_skills, "job_skills").join(confidence_array(job_conf, "job_id", "job_map"), "job_id", "left")
-    pairs = pair_up(courses, jobs)
+    jobs = jobs.join(semantic_rows(module_vectors, job_vectors, places, job_blocks=job_blocks), "job_id", "left")
     matched, missing, extra = gap_columns(F.col("course_skills"), F.col("job_skills"))
-    pairs = pairs.select("course_id", "job_id", "course_skills", "job_skills", "course_map", "job_map", matched, missing, extra)
+    pairs = pair_up(courses, jobs, copies=job_blocks)
+    pairs = pairs.select("course_id", "job_id", "course_skills", "job_skills", "course_map", "job_map", matched, missing, extra,
+                         F.get("semantic", "place").alias("semantic_score"))
     pairs = pairs.withColumn("confidence_score", matched_confidence_of(
         F.col("matched"), F.col("course_map"), F.col("job_map"))).drop("course_map", "job_map")
-    return ensemble(pairs, semantic_scores(module_vectors, job_vectors), weights)
+    return ensemble(pairs, weights)
 
 
 def newest_jobs(jobs: DataFrame, max_jobs: int | None, created: str = "created_on") -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skillgrid.functions import scores
-from skillgrid.operators import extract, pairs, vectors
+from skillgrid.operators import extract, pairs, runs, vectors
 from skillgrid.plans import binding as B
 from skillgrid.plans.registry import query
-from skillgrid.session import shuffle_width
+from skillgrid.session import shuffle_width, work_dir
 
 
 def chunk_sql(size: int, most: str) -> str:
@@ -205,10 +205,16 @@ RUN_SQL = f"""
 RUN_NEEDS = ("m_result", "m_mod_ent", "m_job_ent", "m_mod_vec", "m_job_vec")
 
 
+def run_inputs(t):
+    return runs.Inputs(
+        t.course_skills, t.job_skills, pairs.max_confidence(t.module_entities, "course_id"), pairs.max_confidence(t.job_lines, "job_id"),
+        t.module_vectors, t.job_vectors, t.job_skill, t.module_entities.select("module_id", "skill").distinct())
+
+
 def full_run(t):
-    return pairs.gap_analysis(
-        t.course_skills, t.job_skills, pairs.max_confidence(t.module_entities, "course_id"),
-        pairs.max_confidence(t.job_lines, "job_id"), t.module_vectors, t.job_vectors)
+    i = run_inputs(t)
+    return pairs.gap_analysis(i.course_skills, i.job_skills, i.course_conf, i.job_conf, i.module_vectors, i.job_vectors,
+                              job_blocks=max(4 * shuffle_width(t.spark), pairs.block_count(t.raw("orders"))))
 
 
 @query("F8_gap_analysis", f"""
@@ -222,6 +228,26 @@ def gap_analysis(t):
         "score_breakdown.decision_tree_score", "similarity_score", F.size("matched").alias("matched"), F.size("missing").alias("missing"))
 
 
+NOTE_SQL = """(SELECT count(*) FROM m_job_vec WHERE failed) + (SELECT count(*) FROM (SELECT p_brand, p_type FROM part
+      LEFT JOIN embeddings ON vec_id = p_partkey GROUP BY 1, 2 HAVING count(vec_id) = 0))"""
+
+
+@query("F8_stored_run", f"""
+    SELECT 'run' AS section, 'Full' AS name, 'done' AS label, (SELECT count(*) FROM orders) * (SELECT count(DISTINCT p_brand) FROM part) AS n,
+      CASE WHEN {NOTE_SQL} = 0 THEN '' ELSE ({NOTE_SQL}) || ' texts had no vector and were scored with a neutral one' END AS notes
+    UNION ALL SELECT 'jobs', skill, '', count(*), '' FROM m_job_skill GROUP BY 2
+    UNION ALL SELECT 'courses', skill, '', count(DISTINCT module_id), '' FROM m_mod_ent GROUP BY 2
+    UNION ALL SELECT 'results', course_id, '', count(*), '' FROM m_result GROUP BY 2""", ("m_job_skill", "m_mod_ent", "m_result", "m_job_vec"))
+def stored_run(t):
+    """A whole run as it is stored: run row with its note, both skill matrices, results counted by course."""
+    store = runs.RunStore(t.spark, work_dir(t.spark, "run-store"))
+    runs.run_gap_analysis(store, "Full", run_inputs(t))
+    empty = F.lit("")
+    return store.runs().select(F.lit("run").alias("section"), "name", F.col("status").alias("label"), F.col("results").alias("n"), "notes").unionAll(
+        store.matrices().select("source", "skill", empty, "frequency", empty)).unionAll(
+        store.results().groupBy("course_id").count().select(F.lit("results"), "course_id", empty, "count", empty))
+
+
 @query("F9_newest_jobs", "SELECT job_id, created_on FROM m_job ORDER BY created_on DESC, job_id LIMIT 500", ("m_job",))
 def newest_jobs(t):
     return pairs.newest_jobs(t.jobs, 500).select("job_id", "created_on")
@@ -238,6 +264,22 @@ def remaining_jobs(t):
     return pairs.remaining_jobs(t.raw("orders").select(F.col("o_orderkey").alias("job_id")), have, t.courses)
 
 
+@query("F10_resumed_run", f"""
+    WITH {RUN_SQL}
+    SELECT course_id, job_id, {B.sql_round('s', 6)} AS semantic_score, {B.sql_round('k', 6)} AS skill_score, {B.sql_round('c', 6)} AS confidence_score,
+      {B.sql_round('p', 6)} AS decision_tree_score, {B.sql_round(final_sql('s', 'k', 'c', 'p'), 6)} AS similarity_score,
+      array_to_string(list_sort(matched), '|') AS matched, array_to_string(list_sort(missing), '|') AS missing FROM scored""", RUN_NEEDS)
+def resumed_run(t):
+    """A run that ends after a part of its blocks, and is taken up again by its name: each block is scored once, the results are those of one go."""
+    store, inputs = runs.RunStore(t.spark, work_dir(t.spark, "run-store")), run_inputs(t)
+    first = runs.run_gap_analysis(store, "Nightly", inputs, blocks_per_wave=2 * shuffle_width(t.spark), max_waves=1)
+    if runs.run_gap_analysis(store, "Nightly", inputs, resume=True) != first:
+        raise RuntimeError("the unfinished run was not found")
+    return store.results().select(
+        "course_id", "job_id", "score_breakdown.semantic_score", "score_breakdown.skill_score", "score_breakdown.confidence_score",
+        "score_breakdown.decision_tree_score", "similarity_score", F.array_join("matched", "|").alias("matched"), F.array_join("missing", "|").alias("missing"))
+
+
 @query("F11_skill_matrices", """
     SELECT 'jobs' AS source, skill, count(*) AS frequency FROM m_job_skill GROUP BY 2
     UNION ALL SELECT 'courses', skill, count(DISTINCT module_id) FROM m_mod_ent GROUP BY 2""", ("m_job_skill", "m_mod_ent"))
