@@ -14,7 +14,7 @@ from skillgrid.session import build_session  # noqa: E402
 
 HEADLINE = (
     "B2_advert_fingerprint", "B3_deduplicate_documents", "C8_infer_sector", "D2_phrase_hits", "E1_text_chunks", "E8_course_job_semantic",
-    "F2_skill_gap", "G4_document_frequency", "H2_score_buckets", "H4_course_band_heatmap", "H11_skill_correlation",
+    "F2_skill_gap", "F8_gap_analysis", "G4_document_frequency", "H2_score_buckets", "H4_course_band_heatmap", "H11_skill_correlation",
     "H16_top_similarities", "H22_evidence_counts", "I7_upserted_aliases", "K4_split_examples",
 )
 

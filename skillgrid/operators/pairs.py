@@ -92,18 +92,6 @@ def confidence_array(conf: DataFrame, owner: str, name: str) -> DataFrame:
     return conf.groupBy(owner).agg(F.map_from_entries(F.collect_list(F.struct("skill", "confidence"))).alias(name))
 
 
-def matched_confidence_of(matched: Column, course_map: Column, job_map: Column) -> Column:
-    """The same mean as a column, from the two confidence maps of a pair."""
-    def value(m, s):
-        return F.coalesce(F.try_element_at(m, F.lower(F.trim(s))), F.lit(0.0))
-
-    means = F.filter(
-        F.transform(matched, lambda s: F.struct(value(course_map, s).alias("c"), value(job_map, s).alias("j"))),
-        lambda p: (p["c"] != 0) | (p["j"] != 0))
-    total = F.aggregate(means, F.lit(0.0), lambda acc, p: acc + (p["c"] + p["j"]) / 2)
-    return F.when(F.size(means) == 0, 0.0).otherwise(total / F.greatest(F.size(means), F.lit(1)))
-
-
 def block_count(rows: DataFrame, per_block: int = 20_000) -> int:
     """Blocks that keep one block near ``per_block`` rows (a parquet count reads only footers)."""
     return max(1, math.ceil(rows.count() / per_block))
@@ -190,23 +178,79 @@ def ensemble(pairs: DataFrame, weights=None) -> DataFrame:
         "similarity_score", F.col("score_breakdown.final_score"))
 
 
+def with_confidences(owners: DataFrame, skills: str, owner_map: str, name: str) -> DataFrame:
+    """The confidence of every listed skill next to the list, 0 where the map has none; a list is one owner's, so it is short."""
+    def sure(s):
+        return F.coalesce(F.try_element_at(F.col(owner_map), F.lower(F.trim(s))), F.lit(0.0))
+
+    return owners.withColumn(name, F.when(F.col(owner_map).isNull(), F.transform(skills, lambda s: F.lit(0.0))).otherwise(F.transform(skills, sure))).drop(owner_map)
+
+
+def confidence_rows(courses: DataFrame, jobs: DataFrame, job_blocks: int) -> DataFrame:
+    """(job_id, confidence): one row per job with the matched confidence of every course, by the course's place.
+
+    ``courses``: place, course_skills, course_sure; ``jobs``: job_id, job_skills, job_sure (confidences next to the skills). A block of jobs meets the
+    catalogue as one matrix of skills x courses; the mean over the matched skills leaves out skills without any confidence, as ``matched_confidence`` does.
+    """
+    out = T.StructType([T.StructField("job_id", jobs.schema["job_id"].dataType), T.StructField("confidence", T.ArrayType(T.DoubleType()))])
+
+    def flat(column):
+        column = column.combine_chunks()
+        return np.asarray(column.flatten()), column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def score(job_part: pa.Table, course_part: pa.Table) -> pa.Table:
+        if not job_part.num_rows or not course_part.num_rows:
+            return pa.table({"job_id": job_part["job_id"].slice(0, 0), "confidence": pa.array([], pa.list_(pa.float64()))})
+        names, count = flat(course_part["course_skills"])
+        place = np.repeat(course_part["place"].to_numpy(), count)
+        n = int(course_part["place"].to_numpy().max()) + 1
+        code = {s: k for k, s in enumerate(dict.fromkeys(names.tolist()))}
+        has, sure = np.zeros((len(code) + 1, n), bool), np.zeros((len(code) + 1, n))
+        at = np.array([code[s] for s in names.tolist()], np.int64)
+        has[at, place], sure[at, place] = True, flat(course_part["course_sure"])[0].astype(float)
+        parts = []
+        for at in range(0, job_part.num_rows, 2048):
+            piece = job_part.slice(at, 2048)
+            names, count = flat(piece["job_skills"])
+            k = np.array([code.get(s, len(code)) for s in names.tolist()], np.int64)
+            own = flat(piece["job_sure"])[0].astype(float)[:, None]
+            usable = has[k] & ((sure[k] != 0) | (own != 0))
+            total, used = np.zeros((piece.num_rows, n)), np.zeros((piece.num_rows, n))
+            value = np.where(usable, (sure[k] + own) / 2, 0.0)
+            first = np.cumsum(count) - count
+            for j in range(int(count.max())):  # one skill of every job at a time: sums run in the order of the skills
+                rows = np.flatnonzero(count > j)
+                total[rows] += value[first[rows] + j]
+                used[rows] += usable[first[rows] + j]
+            mean = np.divide(total, used, out=np.zeros_like(total), where=used > 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(piece.num_rows + 1, dtype=np.int32) * n), pa.array(mean.ravel()))
+            parts.append(pa.table({"job_id": piece["job_id"], "confidence": lists}))
+        return pa.concat_tables(parts)
+
+    left = jobs.select("job_id", "job_skills", "job_sure", F.pmod(F.xxhash64("job_id"), F.lit(job_blocks)).cast("int").alias("js"))
+    right = courses.select("place", "course_skills", "course_sure", F.explode(F.sequence(F.lit(0), F.lit(job_blocks - 1))).alias("js"))
+    return left.groupBy("js").cogroup(right.groupBy("js")).applyInArrow(score, schema=out)
+
+
 def gap_analysis(course_skills: DataFrame, job_skills: DataFrame, course_conf: DataFrame, job_conf: DataFrame,
                  module_vectors: DataFrame, job_vectors: DataFrame, weights=None, job_blocks: int | None = None) -> DataFrame:
     """The whole run: gap, coverage, semantic score, confidence and final score of every pair.
 
-    Everything that belongs to a job, its semantic scores with all courses among it, meets in one row by the job's id; courses come to the
+    Everything that belongs to a job, its semantic score and its confidence with all courses among it, meets in one row by the job's id; courses come to the
     jobs and rows are multiplied last, so no table of pairs is ever shuffled.
     """
+    blocks = job_blocks or max(shuffle_width(job_skills.sparkSession), block_count(job_skills))
     places = numbered(course_skills)
     courses = in_order(course_skills, "course_skills").join(confidence_array(course_conf, "course_id", "course_map"), "course_id", "left").join(places, "course_id")
+    courses = with_confidences(courses, "course_skills", "course_map", "course_sure")
     jobs = in_order(job_skills, "job_skills").join(confidence_array(job_conf, "job_id", "job_map"), "job_id", "left")
-    jobs = jobs.join(semantic_rows(module_vectors, job_vectors, places, job_blocks=job_blocks), "job_id", "left")
+    jobs = with_confidences(jobs, "job_skills", "job_map", "job_sure")
+    sure = confidence_rows(courses, jobs, blocks)
+    jobs = jobs.drop("job_sure").join(sure, "job_id", "left").join(semantic_rows(module_vectors, job_vectors, places, job_blocks=blocks), "job_id", "left")
     matched, missing, extra = gap_columns(F.col("course_skills"), F.col("job_skills"))
-    pairs = pair_up(courses, jobs, copies=job_blocks)
-    pairs = pairs.select("course_id", "job_id", "course_skills", "job_skills", "course_map", "job_map", matched, missing, extra,
-                         F.get("semantic", "place").alias("semantic_score"))
-    pairs = pairs.withColumn("confidence_score", matched_confidence_of(
-        F.col("matched"), F.col("course_map"), F.col("job_map"))).drop("course_map", "job_map")
+    pairs = pair_up(courses.drop("course_sure"), jobs, copies=blocks)
+    pairs = pairs.select("course_id", "job_id", "course_skills", "job_skills", matched, missing, extra,
+                         F.get("semantic", "place").alias("semantic_score"), F.get("confidence", "place").alias("confidence_score"))
     return ensemble(pairs, weights)
 
 
