@@ -16,6 +16,8 @@ from skillgrid.session import cut, work_dir
 from skillgrid.sources import readers, writers
 from skillgrid.streaming import jobs as streams
 
+PER_PAGE = 50
+
 
 @query("A1_advert_csv", """
     SELECT job_id, title, company, description, contract_type FROM m_job WHERE title <> 'Risk Analyst' AND contract_type <> 'F'""", ("m_job",))
@@ -43,16 +45,20 @@ def embedded_records(t):
     return got.select("job_id", "title", F.coalesce(F.size("vector"), F.lit(0)).cast("bigint").alias("dim"))
 
 
-def _pages(t):
-    """Landed result pages of 50 adverts, from the adverts."""
+def _paged(adverts):
+    """Landed result pages of the adverts, by their ``page``."""
     item = F.struct(
-        F.col("job_id").cast("string").alias("id"), "title", F.struct(F.col("company").alias("display_name")).alias("company"),
+        F.col("id"), "title", F.struct(F.col("company").alias("display_name")).alias("company"),
         F.struct(F.col("location").alias("display_name")).alias("location"),
         F.struct(F.when(F.col("contract_type") == "O", F.col("category")).alias("label"), F.concat(F.lit("tag-"), F.col("category")).alias("tag")).alias("category"),
         "description", "contract_type", F.col("date_posted").cast("string").alias("created"), F.col("job_reference").alias("reference"))
-    per_page = 50
-    return t.jobs.groupBy(F.floor(F.col("job_id") / per_page).cast("int").alias("page")).agg(F.array_sort(F.collect_list(item), ).alias("results")).select(
-        "page", F.lit(per_page).alias("per_page"), F.lit(0).cast("bigint").alias("count"), "results")
+    return adverts.groupBy("page").agg(F.array_sort(F.collect_list(item)).alias("results")).select(
+        "page", F.lit(PER_PAGE).alias("per_page"), F.lit(0).cast("bigint").alias("count"), "results")
+
+
+def _pages(t):
+    """Landed result pages of 50 adverts, from the adverts."""
+    return _paged(t.jobs.withColumn("id", F.col("job_id").cast("string")).withColumn("page", F.floor(F.col("job_id") / PER_PAGE).cast("int")))
 
 
 @query("A4_flattened_pages", """
@@ -201,6 +207,51 @@ def continuous_ingest(t):
     return t.spark.read.parquet(f"{base}/adverts").select("external_id", "company", "location")
 
 
+#: What every advert that lands again is: by the order's number modulo 4, up to three adverts on pages of their own.
+AGAIN_SQL = """SELECT 'x' || job_id AS external_id, company, location, 0 AS step FROM m_job WHERE job_id % 4 = 0
+    UNION ALL SELECT 'x' || job_id, company, location, 1 FROM m_job WHERE job_id % 4 = 0 UNION ALL SELECT 'y' || job_id, company, location, 2 FROM m_job WHERE job_id % 4 = 0
+    UNION ALL SELECT 'z' || job_id, company, location, 3 FROM m_job WHERE job_id % 4 = 1"""
+
+
+def _chained(t):
+    """Three batches: all adverts; adverts in chains of duplicates; both again under a new checkpoint.
+
+    A chain: a known text under a new id (dropped by its text), the same new id with a new text (kept, as the first was dropped and blocks nothing), and
+    that text under another id (dropped by its text).
+    """
+    base = work_dir(t.spark, "chains")
+    j = t.jobs.withColumn("id", F.col("job_id").cast("string"))
+    fresh = F.concat(F.lit("fresh "), F.col("job_id").cast("string"))
+    page = F.floor(F.col("job_id") / PER_PAGE).cast("int") * 4 + 1_000_000_000
+
+    def step(k, letter, rest, text):
+        return j.where(F.col("job_id") % 4 == rest).withColumn("id", F.concat(F.lit(letter), "id")).withColumn("description", text).withColumn("page", page + k)
+
+    chains = step(0, "x", 0, F.col("description")).unionByName(step(1, "x", 0, fresh)).unionByName(step(2, "y", 0, fresh)).unionByName(step(3, "z", 1, fresh))
+    _land(_pages(t), f"{base}/landing/a")
+    streams.ingest_adverts(t.spark, f"{base}/landing/*", f"{base}/adverts", f"{base}/checkpoint").awaitTermination()
+    _land(_paged(chains), f"{base}/landing/b")
+    for checkpoint in ("checkpoint", "new-checkpoint"):
+        streams.ingest_adverts(t.spark, f"{base}/landing/*", f"{base}/adverts", f"{base}/{checkpoint}").awaitTermination()
+    return base
+
+
+@query("N1_chained_duplicates", f"""
+    SELECT CAST(job_id AS VARCHAR) AS external_id, company, location FROM m_job
+    UNION ALL SELECT external_id, company, location FROM ({AGAIN_SQL}) WHERE step IN (1, 3)""", ("m_job",))
+def chained_duplicates(t):
+    """Adverts stored after three batches with chains of duplicates among them."""
+    return t.spark.read.parquet(f"{_chained(t)}/adverts").select("external_id", "company", "location")
+
+
+@query("N1_ingest_cycles", f"""
+    WITH n AS (SELECT count(*) AS a FROM m_job), x AS (SELECT count(*) AS b, count(*) FILTER (WHERE step IN (1, 3)) AS k FROM ({AGAIN_SQL}))
+    SELECT 0 AS batch, a AS seen, a AS saved, 0 AS duplicates FROM n UNION ALL SELECT 1, b, k, b - k FROM x UNION ALL SELECT 2, a + b, 0, a + b FROM n, x""", ("m_job",))
+def ingest_cycles(t):
+    """Adverts seen, saved and left out, batch by batch."""
+    return streams.cycles(t.spark, f"{_chained(t)}/adverts").select("batch", "seen", "saved", "duplicates")
+
+
 @query("N2_live_pipeline", "SELECT course_id, job_id, similarity_score FROM m_result", ("m_result",))
 def live_pipeline(t):
     """New adverts of every batch are scored against all courses; earlier ones are left alone."""
@@ -246,6 +297,28 @@ def stale_tasks(t):
     return streams.stale_tasks(_tasks(t), F.lit("2024-01-30 12:00:00").cast("timestamp")).select("task_id", "status", "stale")
 
 
+WATCH_CUT = "2024-01-16 00:00:00"
+
+
+def _stale_sql(events: str) -> str:
+    return f"""SELECT CAST(user_id AS VARCHAR) AS task_id, 'FAILURE' AS status, max(ts) AS updated_at FROM {events} GROUP BY 1
+        HAVING max_by({STATUS}, (ts, {STATUS})) IN ('PENDING', 'STARTED') AND max(ts) + INTERVAL 11 MINUTE < (SELECT max(ts) FROM {events})"""
+
+
+@query("N4_watched_tasks", f"""
+    SELECT task_id, status, strftime(updated_at, '%Y-%m-%d %H:%M:%S') AS updated_at
+    FROM ({_stale_sql(f"(SELECT * FROM events WHERE ts < TIMESTAMP '{WATCH_CUT}')")} UNION {_stale_sql('events')})""")
+def watched_tasks(t):
+    """Tasks that timers declare dead while updates arrive in two parts: those silent when the first ends, and those silent at the end."""
+    base = work_dir(t.spark, "watch")
+    tasks = _tasks(t)
+    for part, own in (("a", F.col("ts") < F.lit(WATCH_CUT).cast("timestamp")), ("b", F.col("ts") >= F.lit(WATCH_CUT).cast("timestamp"))):
+        tasks.where(own).write.parquet(f"{base}/landing/{part}")
+        stream = t.spark.readStream.schema(tasks.schema).parquet(f"{base}/landing/*")
+        streams.watch_into(stream, f"{base}/stale", f"{base}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{base}/stale").select("task_id", "status", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
+
+
 @query("N5_running_counts", "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2")
 def running_counts(t):
     base = work_dir(t.spark, "counts")
