@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from skillgrid.functions import constants as K
@@ -81,13 +84,14 @@ def with_words(lexicon: DataFrame) -> DataFrame:
 
 # ---- text pieces with offsets ------------------------------------------------------------------
 
-def _offsets(pieces: Column) -> Column:
-    """Start of every piece of a text that was split at single characters."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("offs"))
-    return F.aggregate(
-        pieces, start,
-        lambda acc, p: F.struct((acc["at"] + F.length(p) + 1).alias("at"), F.array_append(acc["offs"], acc["at"]).alias("offs")),
-        lambda acc: acc["offs"])
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _offsets(pieces: pd.Series) -> pd.Series:
+    """Start of every piece of a text that was split at single characters: one running sum a text, linear in its pieces."""
+    def starts(given):
+        ends = np.cumsum(np.fromiter(map(len, given), np.int64, len(given)) + 1)
+        return np.concatenate([[0], ends[:-1]]) if len(given) else ends
+
+    return pieces.map(starts, na_action="ignore")
 
 
 def _pieces(df: DataFrame, source: str, delimiter: str, piece: str, start: str, keep: Column | None = None) -> DataFrame:

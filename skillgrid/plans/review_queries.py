@@ -240,6 +240,48 @@ def training_examples(t):
     return training.examples(docs, spans).select("doc_id", F.size("spans").alias("kept"), "skipped", F.array_max(F.transform("spans", lambda s: s["end"])).alias("last_end"))
 
 
+# entities of the modules, in the order of the parts: most lie where the module's text names the skill, some too long or outside the text, some without offsets
+PLACED_SQL = """me AS (SELECT e.*, strpos(content, e.skill) - 1 AS pl, length(e.skill) AS w, mention_count AS size, length(content) AS len, content FROM m_mod_ent e JOIN m_module USING (module_id)),
+    ent AS (SELECT *, CASE WHEN size % 5 <> 0 THEN pl END AS s, CASE WHEN size % 5 = 0 THEN NULL WHEN size % 7 = 0 THEN pl + 100000 WHEN size % 11 = 0 THEN pl + w + 5 ELSE pl + w END AS e FROM me)"""
+
+
+def _placed_entities(t):
+    size, at, width = F.col("mention_count"), F.instr("content", F.col("skill")) - 1, F.length("skill")
+    end = F.when(size % 7 == 0, at + 100000).when(size % 11 == 0, at + width + 5).otherwise(at + width)
+    return t.module_entities.join(t.modules.select("module_id", "content"), "module_id").select(
+        "module_id", F.col("pos").alias("seq"), *training.ENTITY_FIELDS, "text", "label", F.when(size % 5 != 0, at).alias("start"), F.when(size % 5 != 0, end).alias("end"))
+
+
+@query("K1_training_rows", f"""
+    WITH {PLACED_SQL}, tp AS (SELECT module_id, content, unnest(string_split(content, ' ')) AS token, generate_subscripts(string_split(content, ' '), 1) AS i FROM m_module),
+    tk AS (SELECT module_id, content, token, CAST(i - 1 AS INT) AS token_index, CAST(sum(length(token) + 1) OVER (PARTITION BY module_id ORDER BY i) - length(token) - 1 AS INT) AS a FROM tp),
+    hit AS (SELECT tk.module_id, token_index, min(pos) AS pos FROM tk JOIN ent ON ent.module_id = tk.module_id AND label_status <> 'candidate' AND s <= a AND a < e GROUP BY 1, 2)
+    SELECT 'token' AS dataset_row_type, tk.module_id, tk.token_index, token, CASE WHEN ent.skill IS NULL THEN 'O' WHEN s = a THEN 'B-SKILL' ELSE 'I-SKILL' END AS bio_label,
+      entity_id, chunk_id, skill, skill_type, tier, source, confidence, label_status, a AS char_start, CAST(a + length(token) AS INT) AS char_end,
+      substr(tk.content, greatest(0, a - 160) + 1, least(length(tk.content), a + length(token) + 160) - greatest(0, a - 160)) AS context, m.course_id, m.name
+    FROM tk JOIN m_module m ON m.module_id = tk.module_id LEFT JOIN hit ON hit.module_id = tk.module_id AND hit.token_index = tk.token_index LEFT JOIN ent ON ent.module_id = hit.module_id AND ent.pos = hit.pos
+    UNION ALL SELECT 'entity_without_offsets', ent.module_id, NULL, '', 'B-SKILL', entity_id, chunk_id, skill, skill_type, tier, source, confidence, label_status, NULL, NULL, text, m.course_id, m.name
+    FROM ent JOIN m_module m ON m.module_id = ent.module_id WHERE label_status <> 'candidate' AND s IS NULL""", ("m_mod_ent", "m_module"))
+def training_rows(t):
+    docs = t.modules.select("module_id", F.col("content").alias("body"), "course_id", "name")
+    return training.training_rows(docs, _placed_entities(t), "module_id", "body")
+
+
+@query("K2_entity_examples", f"""
+    WITH RECURSIVE {PLACED_SQL},
+    u AS (SELECT module_id, coalesce(s, pl) AS s, CASE WHEN s IS NULL THEN pl + w ELSE e END AS e, len FROM ent WHERE course_id <> 'Brand#11' AND label_status <> 'candidate'
+      UNION ALL SELECT module_id, strpos(content, skill) - 1, strpos(content, skill) - 1 + length(skill), length(content) FROM (SELECT module_id, content, unnest(skills) AS skill FROM m_module WHERE course_id = 'Brand#11')),
+    o AS (SELECT module_id, s, e, row_number() OVER (PARTITION BY module_id ORDER BY s, e - s) AS n FROM u WHERE e <= len),
+    g AS (SELECT module_id, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS last, CAST([] AS VARCHAR[]) AS kept FROM m_module
+      UNION ALL SELECT o.module_id, o.n, CASE WHEN s >= last THEN e ELSE last END, CASE WHEN s >= last THEN list_append(kept, s || ':' || e) ELSE kept END FROM g JOIN o ON o.module_id = g.module_id AND o.n = g.n + 1)
+    SELECT module_id, array_to_string(max_by(kept, n), ',') AS spans, CAST((SELECT count(*) FROM u WHERE u.module_id = g.module_id) - len(max_by(kept, n)) AS INT) AS skipped FROM g GROUP BY 1""", ("m_mod_ent", "m_module"))
+def entity_examples(t):
+    """Training spans of every module; those of one course have no entities and take the listed skills."""
+    given = _placed_entities(t).join(t.modules.where("course_id <> 'Brand#11'").select("module_id"), "module_id", "left_semi")
+    got = training.training_examples(t.modules, given, t.modules, "module_id", "content")
+    return got.select("module_id", F.array_join(F.transform("spans", lambda s: F.concat(s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",").alias("spans"), "skipped")
+
+
 @query("K3_readiness", f"""
     WITH {hits_sql(DOCS, 'm_lexicon', 3)} SELECT count(DISTINCT doc_id) AS examples, count(DISTINCT doc_id) >= 20 AS ready FROM hits""", ("m_lexicon",))
 def readiness(t):
