@@ -146,6 +146,20 @@ def parsed_pages(t):
     return crawl.parse_pages(t.raw("pages")).select("page_id", "title", F.size("headings").alias("headings"), F.size("links").alias("links"), F.length("text").alias("chars"))
 
 
+PLAIN = "trim(regexp_replace(replace(replace(replace({c}, '&amp;', '&'), '&quot;', '\"'), chr(10), ' '), ' +', ' ', 'g'))"
+
+
+@query("M1_page_parts", f"""
+    WITH l AS (SELECT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || unnest(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS link,
+        generate_subscripts(regexp_extract_all(html, '<a href="(/[^"]*)"', 1), 1) AS i FROM pages),
+    k AS (SELECT page_id, string_agg(link, ' ' ORDER BY i) AS links FROM (SELECT page_id, link, min(i) AS i FROM l GROUP BY 1, 2) GROUP BY 1)
+    SELECT p.page_id, {PLAIN.format(c="regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title, {PLAIN.format(c="regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS headings,
+      coalesce(links, '') AS links FROM pages p LEFT JOIN k ON k.page_id = p.page_id""")
+def page_parts(t):
+    p = crawl.parse_pages(t.raw("pages"))
+    return p.select("page_id", "title", F.array_join("headings", "|").alias("headings"), F.array_join("links", " ").alias("links"))
+
+
 def _any(c: str, terms) -> str:
     return "(" + " OR ".join(f"contains(lower({c}), '{w}')" for w in terms) + ")"
 
