@@ -60,14 +60,15 @@ def course_bands(results: DataFrame, threshold: float = K.MISMATCH_THRESHOLD) ->
         scores.half_up(F.col("c.count") / F.col("peak"), 3).alias("intensity"))
 
 
-def result_cells(results: DataFrame, jobs: DataFrame, courses: DataFrame, limit: int | None = 500) -> DataFrame:
-    """Course-to-job cells in course order, best score first."""
+def result_cells(results: DataFrame, jobs: DataFrame, courses: DataFrame, limit: int | None = None) -> DataFrame:
+    """Course-to-job cells in course order, best score first, with all matched and missing names."""
     cells = named_results(results, jobs, courses).select(
         "course_id", F.col("code").alias("course"), "course_name", "school", "job_id", "job", "company",
         scores.percent(F.col("similarity_score")).alias("score"), F.size("matched").alias("matched_count"),
-        F.size("missing").alias("missing_count"), F.array_join(F.slice("matched", 1, 8), ", ").alias("matched"),
-        F.array_join(F.slice("missing", 1, 8), ", ").alias("missing"))
-    return cells.orderBy("course_name", F.desc("score"), "job_id").limit(limit) if limit else cells
+        F.size("missing").alias("missing_count"), F.array_join("matched", ", ").alias("matched"),
+        F.array_join("missing", ", ").alias("missing"))
+    ordered = cells.orderBy("course_name", F.desc("score"), "job_id")
+    return ordered.limit(limit) if limit else ordered
 
 
 def named_results(results: DataFrame, jobs: DataFrame, courses: DataFrame) -> DataFrame:
@@ -211,14 +212,14 @@ def skill_correlation(profile_skill: DataFrame, limit: int = 16) -> DataFrame:
     return grid.select("left", "right", scores.half_up(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value)), 2).alias("value"))
 
 
-def role_divergence(profiles: DataFrame, role_limit: int = 120, skill_limit: int = 9) -> DataFrame:
+def role_divergence(profiles: DataFrame, role_limit: int | None = None, skill_limit: int = 9) -> DataFrame:
     """Share of a skill in a role minus its share overall, the largest differences per role.
 
     ``profiles``: job_id, role, skill. The role x skill grid is formed over distinct names only.
     """
     counts = profiles.groupBy("role", "skill").agg(F.count("*").alias("n"))
     sizes = profiles.select("job_id", "role").distinct().groupBy("role").agg(F.count("*").alias("profile_count"))
-    roles = sizes.orderBy(F.desc("profile_count"), "role").limit(role_limit)
+    roles = sizes.orderBy(F.desc("profile_count"), "role").limit(role_limit) if role_limit else sizes
     role_total = counts.groupBy("role").agg(F.sum("n").alias("role_total"))
     overall = counts.groupBy("skill").agg(F.sum("n").alias("g")).withColumn("k", F.lit(1))
     total = overall.groupBy("k").agg(F.sum("g").alias("total"))

@@ -8,7 +8,6 @@ from pyspark.sql import Window as W
 
 from skillgrid.functions import skills, text
 from skillgrid.operators.review import is_active
-from skillgrid.session import cut
 
 EVIDENCE = (
     "source_type", "source_id", "source_label", "parent_label", "entity_id", "chunk_id", "skill", "label", "tier", "skill_type",
@@ -98,15 +97,18 @@ def first_rows(rows: DataFrame, limit: int) -> DataFrame:
     return rows.orderBy(*EVIDENCE_ORDER).limit(limit)
 
 
-def bundle_counts(rows: DataFrame, sample: int = 3000, chart: int = 1200) -> DataFrame:
-    """Counts by type and source of the charted rows, and the facet values of the sampled rows."""
-    ranked = cut(first_rows(rows, sample).select(*EVIDENCE_ORDER, "skill_type", "label_status", "sector", "job_title"))
-    charted = ranked.orderBy(*EVIDENCE_ORDER).limit(chart)
-    counts = [charted.groupBy(F.lit(n).alias("kind"), F.col(n).alias("value")).agg(F.count("*").alias("n")) for n in ("skill_type", "source_type")]
-    facets = ranked.select(F.explode(F.array(*[
-        F.struct(F.lit("facet_" + n).alias("kind"), F.col(n).alias("value")) for n in ("skill_type", "label_status", "sector", "job_title")])).alias("f"))
-    facet_rows = facets.select("f.*").filter("value <> ''").groupBy("kind", "value").agg(F.lit(0).cast("bigint").alias("n"))
-    return counts[0].unionByName(counts[1]).unionByName(facet_rows)
+def bundle_counts(rows: DataFrame, sample: int | None = None, chart: int | None = None) -> DataFrame:
+    """Counts by type and source, and the facet values. ``chart`` and ``sample`` limit what is counted and listed to the first rows in evidence order."""
+    columns = [*EVIDENCE_ORDER, "skill_type", "label_status", "sector", "job_title"]
+    listed = first_rows(rows, sample).select(*columns) if sample else rows.select(*columns)
+    charted = listed.orderBy(*EVIDENCE_ORDER).limit(chart) if chart else listed
+
+    def values(of, prefix, names):
+        pairs = F.array(*[F.struct(F.lit(prefix + n).alias("kind"), F.col(n).alias("value")) for n in names])
+        return of.select(F.explode(pairs).alias("f")).select("f.*").groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+    facets = values(listed, "facet_", ("skill_type", "label_status", "sector", "job_title")).filter("value <> ''")
+    return values(charted, "", ("skill_type", "source_type")).unionByName(facets.withColumn("n", F.lit(0).cast("bigint")))
 
 
 def is_counted() -> Column:

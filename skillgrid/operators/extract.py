@@ -39,7 +39,7 @@ def approved_aliases(aliases: DataFrame) -> DataFrame:
 
 
 def dynamic_terms(entities: DataFrame, plain: DataFrame | None = None, csv_terms: DataFrame | None = None,
-                  min_frequency: int = 1, max_terms: int | None = 1500, reviewed_only: bool = False,
+                  min_frequency: int = 1, max_terms: int | None = None, reviewed_only: bool = False,
                   allow_excluded: bool = True) -> DataFrame:
     """Skills already stored, most frequent first: (skill, frequency).
 

@@ -193,8 +193,8 @@ def upsert_aliases(stored: DataFrame, evidence: DataFrame, source: str = "eviden
         F.when(fresh, F.col("new_doc")).otherwise(text.first_filled(F.col("first_doc"), F.col("new_doc"))).alias("first_doc"))
 
 
-def alias_candidates(rows: DataFrame, stored: DataFrame, limit: int | None = 300) -> DataFrame:
-    """Pairs seen in active evidence that are not stored yet, in evidence order (``seq``), at most ``limit``."""
+def alias_candidates(rows: DataFrame, stored: DataFrame, limit: int | None = None) -> DataFrame:
+    """Pairs seen in active evidence that are not stored yet; with ``limit`` the first in evidence order (``seq``)."""
     active = rows.filter(is_active())
     pairs = alias_evidence(active).groupBy("canonical_skill", "alias").agg(
         F.min("seq").alias("seq"), F.max(F.coalesce("confidence", F.lit(0.0))).alias("confidence"))

@@ -18,7 +18,7 @@ def warnings_of(body: Column, names: Column, min_chars: int = 260, few: int = 1)
     return F.filter(F.array(thin, none, twice), lambda w: w.isNotNull())
 
 
-def suspicious(docs: DataFrame, order: list, limit: int | None = 20, min_chars: int = 260, few: int = 1) -> DataFrame:
+def suspicious(docs: DataFrame, order: list, limit: int | None = None, min_chars: int = 260, few: int = 1) -> DataFrame:
     """Records with warnings: adds skill_count, warnings and a text sample. ``docs``: text, skills and ids."""
     out = (
         docs.filter(F.col("text") != "").withColumn("warnings", warnings_of(F.col("text"), F.col("skills"), min_chars, few))
@@ -51,7 +51,11 @@ def skill_names(c: Column) -> Column:
     return F.array_distinct(F.filter(names, lambda s: s != ""))
 
 
-def normalised_response(answer: Column, most: int = 12) -> Column:
+def _first(names: Column, most: int | None) -> Column:
+    return F.slice(names, 1, most) if most else names
+
+
+def normalised_response(answer: Column, most: int | None = None) -> Column:
     """STRUCT<status, suspicious, suggested_skills, false_positive_stored_skills, notes> of a verifier answer (JSON)."""
     p = F.from_json(answer, "status string, suspicious boolean, suggested_skills string, false_positive_stored_skills string, notes string")
     suggested, wrong = skill_names(p["suggested_skills"]), skill_names(p["false_positive_stored_skills"])
@@ -59,5 +63,5 @@ def normalised_response(answer: Column, most: int = 12) -> Column:
     status = F.when(given.isin("ok", "needs_review"), given).when((F.size(suggested) > 0) | (F.size(wrong) > 0), "needs_review").otherwise("ok")
     return F.struct(
         status.alias("status"), F.coalesce(p["suspicious"], status == "needs_review").alias("suspicious"),
-        F.slice(suggested, 1, most).alias("suggested_skills"), F.slice(wrong, 1, most).alias("false_positive_stored_skills"),
+        _first(suggested, most).alias("suggested_skills"), _first(wrong, most).alias("false_positive_stored_skills"),
         text.compact_text(p["notes"], 700).alias("notes"))

@@ -53,7 +53,7 @@ def filtered_evidence(t):
 
 
 @query("G3_bundle_counts", f"""
-    WITH {EV_SQL}, s AS (SELECT * FROM ev WHERE {KEPT} ORDER BY {ORDER} LIMIT 3000), c AS (SELECT * FROM s ORDER BY {ORDER} LIMIT 1200)
+    WITH {EV_SQL}, s AS (SELECT * FROM ev WHERE {KEPT}), c AS (SELECT * FROM s)
     SELECT 'skill_type' AS kind, skill_type AS value, count(*) AS n FROM c GROUP BY 2
     UNION ALL SELECT 'source_type', source_type, count(*) FROM c GROUP BY 2
     UNION ALL SELECT DISTINCT 'facet_skill_type', skill_type, 0 FROM s UNION ALL SELECT DISTINCT 'facet_label_status', label_status, 0 FROM s

@@ -198,13 +198,13 @@ def skill_offsets(t):
 
 @query("D13_evidence_window", f"""
     WITH {hits_sql(DOCS, 'm_lexicon', 3)}, h AS (SELECT {HIT_COLUMNS} FROM hits),
-    f AS (SELECT doc_id, skill, min("start") AS lo, min_by("end", ("start", "end")) AS hi FROM h WHERE length(skill) > 9 GROUP BY 1, 2)
+    f AS (SELECT doc_id, skill, min("start") AS lo, min_by("end", ("start", "end")) AS hi FROM h GROUP BY 1, 2)
     SELECT f.doc_id, skill, CASE WHEN lo - 180 > 0 THEN '...' ELSE '' END
       || {B.sql_squeeze('substr(d.text, greatest(0, lo - 180) + 1, least(length(d.text), hi + 180) - greatest(0, lo - 180))')}
       || CASE WHEN hi + 180 < length(d.text) THEN '...' ELSE '' END AS context
     FROM f JOIN documents d USING (doc_id)""", ("m_lexicon",))
 def evidence_window(t):
-    hits = extract.phrase_hits(_docs(t), t.lexicon).filter(F.length("skill") > 9)
+    hits = extract.phrase_hits(_docs(t), t.lexicon)
     first = hits.groupBy("doc_id", "skill").agg(F.min("start").alias("lo"), F.min_by("end", F.struct("start", "end")).alias("hi"))
     return first.join(_docs(t), "doc_id").select("doc_id", "skill", extract.evidence_window(
         F.col("text"), F.col("lo"), F.col("hi"), F.col("skill")).alias("context"))

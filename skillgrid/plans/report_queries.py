@@ -60,8 +60,8 @@ NAMED = """SELECT r.*, c.code, c.name AS course_name, CASE WHEN university = ''
 
 @query("H5_result_cells", f"""
     SELECT course_id, code AS course, course_name, school, job_id, job, company, {PCT} AS score, CAST(len(matched) AS INT) AS matched_count,
-      CAST(len(missing) AS INT) AS missing_count, array_to_string(matched[1:8], ', ') AS matched, array_to_string(missing[1:8], ', ') AS missing
-    FROM ({NAMED}) ORDER BY course_name, score DESC, job_id LIMIT 500""", ("m_result", "m_course", "m_job"))
+      CAST(len(missing) AS INT) AS missing_count, array_to_string(matched, ', ') AS matched, array_to_string(missing, ', ') AS missing
+    FROM ({NAMED})""", ("m_result", "m_course", "m_job"))
 def result_cells(t):
     return analytics.result_cells(t.results, t.jobs, t.courses)
 

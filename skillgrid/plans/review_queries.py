@@ -96,7 +96,7 @@ def upserted_aliases(t):
 @query("I8_alias_candidates", f"""
     SELECT e.canonical_skill, e.alias, doc AS seq, conf AS confidence FROM ({EVIDENCE_SQL.format(w="AND label_status <> 'candidate'")}) e
     ANTI JOIN (SELECT * FROM m_alias WHERE status = 'approved' AND alias NOT LIKE '%gear') a ON a.canonical_skill = e.canonical_skill AND a.alias = e.alias
-    ORDER BY doc, 1, 2 LIMIT 300""", ("m_alias", "m_job_ent"))
+    """, ("m_alias", "m_job_ent"))
 def alias_candidates(t):
     rows = t.job_lines.withColumn("seq", F.col("job_id"))
     return review.alias_candidates(rows, t.aliases.filter("status = 'approved' AND alias NOT LIKE '%gear'"))
@@ -179,9 +179,9 @@ def heuristic_warnings(t):
 
 
 @query("J2_suspicious_records", f"""
-    SELECT module_id, n AS skill_count, length(content) AS text_chars, content AS text_sample FROM {WARN_FROM} WHERE {WARN_SQL} <> '' ORDER BY module_id LIMIT 20""", ("m_module", "m_mod_ent"))
+    SELECT module_id, n AS skill_count, length(content) AS text_chars, content AS text_sample FROM {WARN_FROM} WHERE {WARN_SQL} <> ''""", ("m_module", "m_mod_ent"))
 def suspicious_records(t):
-    return verify.suspicious(_listed(t), ["module_id"], 20, 20).select("module_id", F.col("skill_count").cast("bigint").alias("skill_count"), F.col("text_chars").cast("bigint").alias("text_chars"), "text_sample")
+    return verify.suspicious(_listed(t), ["module_id"], None, 20).select("module_id", F.col("skill_count").cast("bigint").alias("skill_count"), F.col("text_chars").cast("bigint").alias("text_chars"), "text_sample")
 
 
 @query("J3_matrix_health", """
@@ -201,7 +201,7 @@ def matrix_health(t):
 
 @query("J4_verifier_responses", """
     SELECT module_id, CASE WHEN name = 'PROMO' THEN 'ok' ELSE 'needs_review' END AS status, name <> 'PROMO' AS suspicious,
-      array_to_string(skills[1:12], '|') AS suggested, skills[1] AS wrong FROM m_module""", ("m_module",))
+      array_to_string(skills, '|') AS suggested, skills[1] AS wrong FROM m_module""", ("m_module",))
 def verifier_responses(t):
     body = F.struct(F.when(F.col("name") == "PROMO", "OK").otherwise("odd").alias("status"), F.to_json("skills").alias("suggested_skills"),
                     F.concat(F.upper(F.get("skills", 0)), F.lit("; "), F.replace(F.get("skills", 0), F.lit(" "), F.lit("_"))).alias("false_positive_stored_skills"))
