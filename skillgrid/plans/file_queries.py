@@ -15,6 +15,7 @@ from skillgrid.plans.score_queries import TOKEN_COSINE_SQL
 from skillgrid.session import cut, work_dir
 from skillgrid.sources import readers, writers
 from skillgrid.streaming import jobs as streams
+from skillgrid.streaming import refresh
 
 PER_PAGE = 50
 
@@ -280,6 +281,47 @@ def alias_refresh(t):
     return extract.skill_frequency(hits).withColumnRenamed("frequency", "documents")
 
 
+#: Status of an alias after the second batch of decisions: half of the approved ones are withdrawn, the candidates approved.
+LATER = "CASE WHEN status = 'approved' AND evidence_count % 2 = 0 THEN 'rejected' WHEN status = 'candidate' THEN 'approved' ELSE status END"
+FIRST_SQL = "(SELECT canonical_skill, alias FROM m_alias WHERE status = 'approved' AND alias <> canonical_skill)"
+SECOND_SQL = f"(SELECT canonical_skill, alias FROM m_alias WHERE {LATER} = 'approved' AND alias <> canonical_skill)"
+
+
+def _phrase_sql(aliases: str) -> str:
+    return f"(SELECT alias AS phrase, canonical_skill AS skill FROM {aliases} UNION SELECT canonical_skill, canonical_skill FROM {aliases})"
+
+
+def _refreshed(t):
+    """Adverts that name their entities, one a sentence; two batches of alias decisions refresh their matches."""
+    store = work_dir(t.spark, "refresh")
+    docs = t.job_lines.groupBy(F.col("job_id").cast("string").alias("doc_id")).agg(F.concat_ws(". ", F.array_sort(F.collect_list("text"))).alias("text"))
+    base = t.aliases.where("false").select(F.col("alias").alias("phrase"), F.col("canonical_skill").alias("skill"), F.lit(0).alias("rank"))
+    refresh.add_documents(docs, base, store, buckets=16)
+    decisions = t.aliases.select("canonical_skill", "alias", "status", "evidence_count")
+    for k, status in enumerate((F.col("status"), F.expr(LATER))):
+        decisions.select("canonical_skill", "alias", status.alias("status"), F.lit(k).cast("long").alias("seq")).write.json(f"{store}/landing/{k}")
+        refresh.refresh_from(t.spark, f"{store}/landing/*", base, store, f"{store}/checkpoint", buckets=16).awaitTermination()
+    return store
+
+
+@query("N3_incremental_refresh", f"""
+    SELECT CAST(job_id AS VARCHAR) AS doc_id, l.skill, e.text, count(*) AS mentions FROM m_job_ent e JOIN {_phrase_sql(SECOND_SQL)} l ON e.text = l.phrase GROUP BY 1, 2, 3""", ("m_alias", "m_job_ent"))
+def incremental_refresh(t):
+    """Matches after two refreshes, in which only texts that hold a changed phrase's first word were matched again."""
+    return refresh.current_hits(t.spark, _refreshed(t)).groupBy("doc_id", "skill", "text").agg(F.count("*").alias("mentions"))
+
+
+@query("N3_refresh_log", f"""
+    WITH a AS (SELECT * FROM {_phrase_sql(FIRST_SQL)}), b AS (SELECT * FROM {_phrase_sql(SECOND_SQL)}),
+    c AS (SELECT 0 AS batch, phrase FROM a UNION ALL SELECT 1, coalesce(a.phrase, b.phrase) FROM a FULL JOIN b ON a.phrase = b.phrase AND a.skill = b.skill WHERE a.phrase IS NULL OR b.phrase IS NULL),
+    h AS (SELECT DISTINCT batch, split_part(phrase, ' ', 1) AS head FROM c), w AS (SELECT DISTINCT job_id, unnest(string_split(text, ' ')) AS head FROM m_job_ent),
+    d AS (SELECT batch, count(DISTINCT job_id) AS documents FROM h JOIN w USING (head) GROUP BY 1)
+    SELECT batch, phrases, coalesce(documents, 0) AS documents FROM (SELECT batch, count(DISTINCT phrase) AS phrases FROM c GROUP BY 1) LEFT JOIN d USING (batch)""", ("m_alias", "m_job_ent"))
+def refresh_log(t):
+    """Changed phrases and texts matched again, refresh by refresh."""
+    return refresh.refreshes(t.spark, _refreshed(t)).select("batch", "phrases", "documents")
+
+
 STATUS = "CASE event_type WHEN 'error' THEN 'FAILURE' WHEN 'purchase' THEN 'SUCCESS' WHEN 'signup' THEN 'PENDING' ELSE 'STARTED' END"
 
 
