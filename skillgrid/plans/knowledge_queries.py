@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skillgrid.functions import constants as K
-from skillgrid.operators import crawl, graphs, pairs, retrieval
+from skillgrid.operators import analytics, crawl, graphs, pairs, retrieval
 from skillgrid.operators.evidence import filter_evidence
 from skillgrid.plans import binding as B
 from skillgrid.plans.evidence_queries import EV_NEEDS, EV_SQL, KEPT, ORDER, rows
 from skillgrid.plans.registry import query
 from skillgrid.plans.report_queries import NAMED, PCT
+from skillgrid.session import cut
 
 
 @query("H23_similarity_network", f"""
@@ -60,19 +61,64 @@ def sub_graph(t):
 
 # ---- retrieval ---------------------------------------------------------------------------------
 
-def chunks(t):
+def chunks(t, **limits):
+    """Chunks of everything stored; of the results, those of the newest run, which is paired alone."""
+    year = t.raw("orders").select(F.col("o_orderkey").alias("job_id"), F.year("o_orderdate").alias("run_id"))
+    run = cut(analytics.latest_run(t.runs, year).withColumn("status", F.lit("completed")))
+    own = t.job_skills.join(year.join(run.select("run_id"), "run_id", "left_semi").select("job_id"), "job_id", "left_semi")
     matrix = pairs.skill_matrix(t.job_skill, t.module_entities.select("module_id", "skill").distinct())
-    return retrieval.knowledge_chunks(t.results, matrix, t.courses, t.modules, t.jobs, t.job_skill)
-
-
-@query("L1_knowledge_chunks")
+    told = F.when(F.col("university") != "", F.concat(F.lit("Programme of\n "), F.col("university")))
+    return retrieval.knowledge_chunks(run, pairs.overlap_results(t.course_skills, own), matrix, t.courses.withColumn("description", told), t.modules, t.jobs, t.job_skill, **limits)
+
+
+def _names_sql(names: str) -> str:
+    return f"coalesce(nullif(array_to_string({names}, ', '), ''), 'None recorded')"
+
+
+def _known_sql(c: str) -> str:
+    return f"coalesce(nullif({c}, ''), 'Unknown')"
+
+
+def _pct_sql(c: str) -> str:
+    return f"{B.sql_round(c, 1)} || '%'"
+
+
+CHUNKS_SQL = f"""
+    lr AS (SELECT run_id, name FROM m_run WHERE jobs > 0 ORDER BY created_on DESC, run_id DESC LIMIT 1),
+    res AS (SELECT r.* FROM m_result r JOIN orders ON job_id = o_orderkey WHERE year(o_orderdate) = (SELECT run_id FROM lr)),
+    mx AS (SELECT 'jobs' AS side, 'job' AS source, skill, count(*) AS n FROM m_job_skill GROUP BY 3 UNION ALL SELECT 'courses', 'course', skill, count(DISTINCT module_id) FROM m_mod_ent GROUP BY 3),
+    tops AS (SELECT * FROM mx QUALIFY row_number() OVER (PARTITION BY side ORDER BY n DESC, skill) <= 60),
+    jn AS (SELECT job_id, list_sort(list(skill)) AS names FROM m_job_skill GROUP BY 1),
+    cn AS (SELECT course_id, list_sort(list(DISTINCT name)) AS mods FROM m_module GROUP BY 1),
+    ck AS (SELECT course_id, list_sort(list(DISTINCT skill)) AS names FROM m_course_skill GROUP BY 1),
+    raw AS (
+      SELECT 'analysis-summary' AS chunk_id, 'Latest Analysis Summary' AS title, concat_ws(' ', 'Run: ' || (SELECT name FROM lr), 'Status: completed', 'Results: ' || count(*),
+        'Average alignment score: ' || {_pct_sql("sum(CAST(round(similarity_score * 100) AS BIGINT))::DOUBLE / count(*)")}, 'Highest alignment score: ' || {_pct_sql("max(similarity_score) * 100")},
+        'Lowest alignment score: ' || {_pct_sql("min(similarity_score) * 100")}) AS text, 'comparison' AS source FROM res
+      UNION ALL SELECT 'gap-' || course_id || '-' || job_id, code || ' to ' || title, concat_ws(' ', 'Course: ' || name, 'Job: ' || title, 'Company: ' || {_known_sql('company')},
+        'Alignment score: ' || {_pct_sql("similarity_score * 100")}, 'Matched skills: ' || {_names_sql('matched')}, 'Missing skills: ' || {_names_sql('missing')}), 'comparison'
+        FROM res JOIN m_course USING (course_id) JOIN (SELECT job_id, title, company FROM m_job) USING (job_id)
+      UNION ALL SELECT 'skill-matrix-' || side, CASE side WHEN 'jobs' THEN 'Top Jobs Skills' ELSE 'Top Courses Skills' END, string_agg(skill || ': ' || n, ' ' ORDER BY n DESC, skill), source FROM tops GROUP BY side, source
+      UNION ALL SELECT 'course-' || course_id, 'Course ' || code || ': ' || name, concat_ws(' ', 'Course: ' || name, 'Code: ' || code, 'University: ' || {_known_sql('university')},
+        'Description: ' || CASE WHEN university = '' THEN 'No description recorded' ELSE 'Programme of ' || university END, 'Modules: ' || {_names_sql('mods')}, 'Extracted skills: ' || {_names_sql('names')}), 'course'
+        FROM m_course LEFT JOIN cn USING (course_id) LEFT JOIN ck USING (course_id)
+      UNION ALL SELECT 'module-' || module_id, 'Module ' || c.code || ': ' || m.name, concat_ws(' ', 'Course: ' || c.name, 'Module: ' || m.name, 'Content: ' || content, 'Extracted skills: ' || {_names_sql('skills')}), 'course'
+        FROM m_module m JOIN m_course c USING (course_id)
+      UNION ALL SELECT 'job-' || job_id, 'Job ' || title, concat_ws(' ', 'Title: ' || title, 'Company: ' || {_known_sql('company')}, 'Location: ' || {_known_sql('location')}, 'Category: ' || {_known_sql('category')},
+        'Date posted: ' || coalesce(strftime(date_posted, '%Y-%m-%d'), 'Unknown'), 'Description: ' || title || ' ' || category || ' ' || description, 'Extracted skills: ' || {_names_sql('names')}), 'job'
+        FROM m_job LEFT JOIN jn USING (job_id)),
+    ch AS (SELECT chunk_id, {B.sql_squeeze('title')} AS title, {B.sql_squeeze('text')} AS text, source FROM raw)"""
+CHUNK_NEEDS = ("m_run", "m_result", "m_job_skill", "m_mod_ent", "m_module", "m_course_skill", "m_course", "m_job")
+
+
+@query("L1_knowledge_chunks", f"WITH {CHUNKS_SQL} SELECT * FROM ch", CHUNK_NEEDS)
 def knowledge_chunks(t):
     return chunks(t)
 
 
-@query("L2_scoped_chunks", """SELECT source, count(*) AS n FROM (SELECT 'job' AS source FROM (SELECT job_id FROM m_job ORDER BY created_on DESC, job_id LIMIT 220) UNION ALL SELECT 'job') GROUP BY 1""", ("m_job",))
+@query("L2_scoped_chunks", f"WITH {CHUNKS_SQL} SELECT * FROM ch WHERE source = 'job'", CHUNK_NEEDS)
 def scoped_chunks(t):
-    return retrieval.scoped(chunks(t), "Jobs").groupBy("source").agg(F.count("*").alias("n"))
+    return retrieval.scoped(chunks(t), "Jobs")
 
 
 def questions(t):
@@ -183,6 +229,42 @@ def link_frontier(t):
     return crawl.frontier(linked, p, relevant=False)
 
 
+#: Terms that stand for the relevant ones: pages and addresses of the given tables are made of invented words.
+LINK_TERMS, TEXT_TERMS = ("/a", "/e", "/d", "/the"), ("ent", "ado", "sch")
+PAGE_BUDGET, ROUNDS = 4, 3
+
+
+def _walk_sql() -> str:
+    def step(k):
+        earlier = " UNION ALL ".join(f"SELECT url FROM s{i}" for i in range(k))
+        had = " UNION ALL ".join(f"SELECT host FROM s{i} WHERE status = 'page'" for i in range(k))
+        found = ("SELECT host, url, [1] AS place FROM seed" if k == 0 else
+                 f"SELECT host, link AS url, min(list_append(place, i)) AS place FROM s{k - 1} JOIN ln USING (url) WHERE {_any('link', LINK_TERMS)} AND status IN ('page', 'irrelevant') AND link NOT IN ({earlier}) GROUP BY 1, 2")
+        if k == ROUNDS:
+            return f"s{k} AS (SELECT host, url, place, 'queued' AS status FROM ({found}))"
+        count = "0" if k == 0 else f"coalesce((SELECT count(*) FROM ({had}) h WHERE h.host = q.host), 0)"
+        return f"""q{k} AS (SELECT f.*, CASE WHEN p.url IS NULL THEN 'missing' WHEN {'true' if k == 0 else 'relevant'} THEN 'page' ELSE 'irrelevant' END AS st FROM ({found}) f LEFT JOIN pg p ON f.url = p.url),
+        s{k} AS (SELECT host, url, place, CASE WHEN {count} + count(*) FILTER (WHERE st = 'page') OVER (PARTITION BY host ORDER BY place) - CASE WHEN st = 'page' THEN 1 ELSE 0 END >= {PAGE_BUDGET} THEN 'queued' ELSE st END AS status FROM q{k} q)"""
+
+    parts = ", ".join(step(k) for k in range(ROUNDS + 1))
+    return f"""
+    WITH pl AS (SELECT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) AS o, html, list_distinct(regexp_extract_all(html, '<a href="(/[^"]*)"', 1)) AS d, regexp_extract_all(html, '<a href="(/[^"]*)"', 1) AS l FROM pages),
+    fl AS (SELECT page_id, o, html, list_filter(l, lambda x, i: list_position(l, x) = i) AS l FROM pl),
+    pg AS (SELECT o || l[1] AS url, min(page_id) AS page_id, arg_min(l, page_id) AS l, any_value(o) AS o, arg_min({_any("concat_ws(' ', o || l[1], html)", TEXT_TERMS)}, page_id) AS relevant FROM fl WHERE len(l) > 0 GROUP BY 1),
+    ln AS (SELECT url, o || unnest(l) AS link, generate_subscripts(l, 1) - 1 AS i FROM pg),
+    seed AS (SELECT {HOST_SQL.format(c='url')} AS host, min(url) AS url FROM pg GROUP BY 1), {parts}
+    SELECT host, url, CAST(round AS INT) AS round, status FROM ({" UNION ALL ".join(f"SELECT host, url, {k} AS round, status FROM s{k}" for k in range(ROUNDS + 1))})"""
+
+
+@query("M3_budgeted_walk", _walk_sql())
+def budgeted_walk(t):
+    """Pages walked from the first address of every host. A page is addressed by its own first link, so that links lead to pages; its text is its source."""
+    p = crawl.parse_pages(t.raw("pages")).drop("title", "headings", "text").join(t.raw("pages").select("page_id", F.col("html").alias("text")), "page_id")
+    p = p.where(F.size("links") > 0).select("page_id", F.get("links", 0).alias("url"), F.lit("").alias("title"), F.array().cast("array<string>").alias("headings"), "links", "text")
+    seeds = p.groupBy(crawl.host(F.col("url")).alias("host")).agg(F.min("url").alias("url"))
+    return crawl.walk(p, seeds, PAGE_BUDGET, ROUNDS, LINK_TERMS, TEXT_TERMS).select("host", "url", "round", "status")
+
+
 @query("M4_sitemap_urls", f"""
     SELECT DISTINCT 'https://' || {HOST_SQL.format(c='url')} || '/sitemap.xml' AS url, 'https://' || {HOST_SQL.format(c='url')} || '/programme/' || page_id AS loc FROM pages""")
 def sitemap_urls(t):
