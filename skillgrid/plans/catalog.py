@@ -7,7 +7,7 @@ import importlib
 from skillgrid.plans import registry
 
 MODULES = (
-    "cleaning_queries", "skill_queries", "extract_queries", "score_queries", "evidence_queries", "report_queries", "review_queries", "collection_queries", "knowledge_queries", "file_queries", "plugin_queries",
+    "cleaning_queries", "skill_queries", "extract_queries", "score_queries", "evidence_queries", "report_queries", "review_queries", "collection_queries", "knowledge_queries", "file_queries", "plugin_queries", "sink_queries",
 )
 
 for _name in MODULES:
