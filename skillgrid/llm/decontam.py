@@ -13,8 +13,8 @@ from skillgrid.llm.common import kept, small
 from skillgrid.llm.line_dedup import simhash_of
 
 SIZE, PERCENT = 5, 80
-#: All fingerprints up to this distance are found: of four 16-bit blocks one differs in at most 3 bits.
-RADIUS = 15
+#: All fingerprints up to this distance are found: of four 16-bit blocks one differs in at most 4 bits.
+RADIUS = 19
 FLIPS = [m for m in range(1 << 16) if m.bit_count() <= RADIUS // 4]
 
 
@@ -52,8 +52,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: st
     Words are lower-cased runs without space and U+0009 to U+000D. A window has as many words as the
     item. It is a leak if 100 * intersection >= ``percent`` * union of the bags of 5-word shingles of
     window and item (of all words, where an item has fewer than 5). Only windows are fingerprinted that can reach this: those
-    with enough shingles of items of their length. Their SimHashes meet those of the items within 15 of 64
-    bits by four blocks of 16 bits, of which one differs in at most 3 bits; every pair that meets is
+    with enough shingles of items of their length. Their SimHashes meet those of the items within 19 of 64
+    bits by four blocks of 16 bits, of which one differs in at most 4 bits; every pair that meets is
     then checked exactly. Ties go to the first window. A null or empty text or item holds nothing;
     repeated items are listed each; rows with equal id and text are one; empty tables give an empty table.
     """
@@ -94,7 +94,7 @@ def _of_size(docs: DataFrame, items: DataFrame, id: str, text: str, size: int, p
     rows = rows.where(F.col("s") + F.col("n") <= F.size("w"))
     rows = rows.withColumn("wh", _shingles(F.slice("w", F.col("s") + 1, F.col("n")), F.lit(0), F.col("n") - size + 1, size)).drop("w")
     prints = kept(rows.withColumn("fp", simhash_of(F.col("wh"))), "prints")
-    near = F.array(*[F.lit(m) for m in FLIPS])
+    near = F.lit(FLIPS)
     index = items.select("item", "n", "ifp", F.explode(_blocks(F.col("ifp"))).alias("b")).select("item", "n", "ifp", "b.b", "b.x", F.explode(near).alias("flip"))
     index = index.select("item", "n", "ifp", "b", F.col("x").bitwiseXOR(F.col("flip")).alias("x"))
     asked = prints.select("n", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select("n", "fp", "b.b", "b.x").distinct()

@@ -102,10 +102,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: dict[str, str], id: st
 
     The model of a category learns from the labels of its rows and, as extra inputs, the probabilities of
     the earlier categories that models of the other folds gave each row. Fold models of one category are fitted by separate tasks.
+    Of several label rows of a document the least counts, category by category in order; rows with a null label or id are left out.
     """
     names = list(categories)
     marks = labels.select(F.col(id).alias("l"), *[F.expr(e).cast("int").alias(f"y{k}") for k, e in enumerate(categories.values())]).where(" AND ".join(f"y{k} IS NOT NULL" for k in range(len(names))) + " AND l IS NOT NULL")
-    marks = marks.dropDuplicates(["l"]).orderBy(F.xxhash64(F.col("l").cast("string")), "l").limit(max_rows)
+    marks = marks.groupBy("l").agg(F.min(F.struct(*[f"y{k}" for k in range(len(names))])).alias("y")).select("l", "y.*").orderBy(F.xxhash64(F.col("l").cast("string")), "l").limit(max_rows)
     marks = kept(marks.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), F.col("l").cast("string")), F.lit(folds)).cast("int")), "labels")
     # at most max_rows rows
     rows = docs.select(F.col(id).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL").join(F.broadcast(marks), F.col("i") == F.col("l")).drop("l")
