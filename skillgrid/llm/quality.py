@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skillgrid.llm.charlm import BITS, Model, code_points, collect, count_grams, means, opened, smooth
+from skillgrid.llm.charlm import BITS, MOST, Model, code_points, collect, count_grams, gram_hashes, gram_scores, languages, means, opened, packed, smooth
 from skillgrid.llm.common import Words, kept, range_hashes, scramble, steps
 
 ORDER = 5
@@ -16,6 +16,8 @@ REACH, LEAST = 5.5, 0.2
 #: Nats per character that count as equal for the medians; parts a language from its fold.
 STEP, FOLD = 0.0005, "\x01"
 WINDOW = 8
+#: Characters of a block of texts that is scored by joins.
+BLOCK_CHARS = 16 << 20
 SYMBOLS = np.frombuffer(b"#*$%&|<>", np.uint8)
 _U = np.uint64
 
@@ -94,8 +96,32 @@ def _grouped(docs: DataFrame, id: str, text: str, lang: str, source: str) -> Dat
 
 def fit(rows: DataFrame, order: int = ORDER, bits: int = BITS) -> Model:
     """Modified Kneser-Ney models of both folds of all languages of ``rows`` (see ``_grouped``), counted over every whole text."""
+    return collect(_smoothed(rows, order), order, bits)
+
+
+def _smoothed(rows: DataFrame, order: int) -> DataFrame:
     counts = count_grams(rows.select("t", F.concat("g", F.lit(FOLD), "fold").alias("g")), "t", "g", order)
-    return collect(smooth(counts, order, modified=True), order, bits)
+    return smooth(counts, order, modified=True)
+
+
+_RULES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_CARRIED = ("i", "g", "s", "fold")
+
+
+def _schema(rows: DataFrame) -> str:
+    kind = rows.schema["i"].dataType.simpleString()
+    return f"i {kind}, g string, s string, fold int, {', '.join(f'{c} long' for c in _RULES)}, chars long, cross_entropy double"
+
+
+def _judged(batch, order: int, log_probs) -> pa.RecordBatch:
+    """The rules and the cross-entropy of a slice; ``log_probs`` gives the log probability of each place of ``codes``, from the texts' ``sizes``."""
+    got = word_rules(batch.column("t"))
+    codes, bounds = code_points(batch.column("t"), order - 1)
+    size = np.diff(bounds)
+    places = np.arange(bounds[-1]) + np.repeat((order - 1) * (np.arange(len(size)) + 1), size)
+    entropy = -means(log_probs(codes, places, size), bounds)
+    return pa.RecordBatch.from_arrays(
+        [*[batch.column(c) for c in _CARRIED], *[pa.array(got[c].astype(np.int64)) for c in _RULES], pa.array(size), pa.array(entropy)], [*_CARRIED, *_RULES, "chars", "cross_entropy"])
 
 
 def score(rows: DataFrame, model: Model) -> DataFrame:
@@ -104,24 +130,63 @@ def score(rows: DataFrame, model: Model) -> DataFrame:
     A row is scored by the model of the other fold of its language; by its own only if the other has no text.
     """
     shared = model.share(rows.sparkSession)
-    cols = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def run(batches):
         m = opened(shared)
         number = {name: k for k, name in enumerate(m.langs)}
         for batch in steps(batches, "t"):
-            got = word_rules(batch.column("t"))
-            codes, bounds = code_points(batch.column("t"), m.order - 1)
-            size = np.diff(bounds)
-            places = np.arange(bounds[-1]) + np.repeat((m.order - 1) * (np.arange(len(size)) + 1), size)
             names = zip(batch.column("g").to_pylist(), batch.column("fold").to_pylist())
             lang_of = np.array([number.get(f"{g}{FOLD}{1 - f}", number.get(f"{g}{FOLD}{f}", 0)) for g, f in names], np.int64)
-            entropy = -means(m.log_probs(codes, places, np.repeat(lang_of, size)), bounds) if m.langs else np.zeros(len(size))
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("i", "g", "s", "fold")], *[pa.array(got[c].astype(np.int64)) for c in cols], pa.array(size), pa.array(entropy)], ["i", "g", "s", "fold", *cols, "chars", "cross_entropy"])
+            yield _judged(batch, m.order, lambda codes, places, size: m.log_probs(codes, places, np.repeat(lang_of, size)) if m.langs else np.zeros(len(places)))
 
-    kind = rows.schema["i"].dataType.simpleString()
-    return rows.mapInArrow(run, f"i {kind}, g string, s string, fold int, {', '.join(f'{c} long' for c in cols)}, chars long, cross_entropy double")
+    return rows.mapInArrow(run, _schema(rows))
+
+
+def score_joined(rows: DataFrame, model: DataFrame, order: int = ORDER, chars: int = BLOCK_CHARS) -> DataFrame:
+    """As ``score``, with the model as a table (see ``smooth``) of any size.
+
+    Texts are dealt to blocks of about ``chars`` characters; each gram gets its value by joins, and a task holds one block of texts and the values of its grams.
+    """
+    total = rows.agg(F.sum(F.length("t").cast("long"))).first()[0] or 0
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(int(max(1, -(-total // chars))))).cast("int")
+    texts = kept(rows.withColumn("block", block), "blocks")
+    langs = languages(model)
+    of = F.concat("g", F.lit(FOLD), F.lit(1) - F.col("fold"))
+    of = F.when(of.isin(langs), of).otherwise(F.concat("g", F.lit(FOLD), "fold"))
+    named = texts.withColumn("by", F.concat(F.col("block").cast("string"), F.lit(FOLD), of))
+    grams = count_grams(named, "t", "by", order).select(F.substring_index("lang", FOLD, 1).cast("int").alias("b"), F.expr(f"substr(lang, instr(lang, '{FOLD}') + 1)").alias("lang"), "hi", "lo")
+    grams = kept(grams, "block-grams")
+    values = gram_scores(grams.select("lang", "hi", "lo").distinct(), model, order)
+    values = grams.join(values, ["lang", "hi", "lo"]).select("b", "lang", "hi", "lo", "value")
+
+    def run(batch: pa.Table, own: pa.Table) -> pa.Table:
+        number = {name: k for k, name in enumerate(sorted(set(own.column("lang").to_pylist())))}
+        owner = np.array([number[x] for x in own.column("lang").to_pylist()], np.uint64)
+        hi, lo, value = (own.column(c).to_numpy() for c in ("hi", "lo", "value"))
+        salt = 0
+        while True:  # the block's grams have different hashes, and hold all grams of its texts
+            keys = gram_hashes(owner, hi, lo, salt)
+            by = np.argsort(keys)
+            keys = keys[by]
+            if not (keys[1:] == keys[:-1]).any():
+                break
+            salt += 1
+        value = value[by]
+
+        def log_probs(part):
+            def probs(codes, places, size):
+                names = zip(part.column("g").to_pylist(), part.column("fold").to_pylist())
+                lang_of = np.array([number.get(f"{g}{FOLD}{1 - f}", number.get(f"{g}{FOLD}{f}", 0)) for g, f in names], np.uint64)
+                if not len(places):
+                    return np.zeros(0)
+                h, l = packed(np.stack([codes[places - j] for j in range(order - 1, -1, -1)]).astype(np.int64))
+                return value[np.searchsorted(keys, gram_hashes(np.repeat(lang_of, size), h, l, salt))]
+            return probs
+
+        made = [_judged(part, order, log_probs(part)) for part in steps(batch.combine_chunks().to_batches(), "t")]
+        return pa.Table.from_batches(made)
+
+    return texts.groupBy("block").cogroup(values.groupBy("b")).applyInArrow(run, _schema(rows))
 
 
 def _bands(rows: DataFrame, reach: float) -> DataFrame:
@@ -157,17 +222,19 @@ def judge(scored: DataFrame, reach: float = REACH) -> DataFrame:
     return rows.join(F.broadcast(bands), (F.col("g") == F.col("bg")) & (F.col("fold") == F.col("bf")), "left").withColumn("kept", ~F.col("base_failed") & inside).drop("bg", "bf")
 
 
-def quality(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, reach: float = REACH, source: str = "source") -> DataFrame:
+def quality(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", order: int = ORDER, reach: float = REACH, source: str = "source", most: int = MOST) -> DataFrame:
     """One row per row of ``docs``: id, the word rules, perplexity, its band, base_failed and kept.
 
     Words are runs without the characters space and U+0009 to U+000D. Rejected: fewer than 20 words,
     more than 30 % of the words in repeated 8-word windows, or a perplexity per character outside the
     band of the row's language and fold (see ``judge``), by a model that never saw the row's fold. A null text counts as empty and fails; a null language is a language
-    of its own; repeated ids and rows are judged one by one; a single very long text takes a step of
+    of its own; repeated ids and rows are judged one by one; models of more than ``most`` entries stay tables (``score_joined``), with the same values; a single very long text takes a step of
     its own. An empty table gives an empty table. Of the other columns of ``docs`` only ``source`` is read, if it is there.
     """
     rows = _grouped(docs, id, text, lang, source)
-    out = judge(kept(score(rows, fit(rows, order)), "quality"), reach)
+    model = kept(_smoothed(rows, order), "model")
+    scored = score(rows, collect(model, order)) if model.count() <= most else score_joined(rows, model, order)
+    out = judge(kept(scored, "quality"), reach)
     return out.select(F.col("i").alias(id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
                       F.exp("cross_entropy").alias("perplexity"), F.exp("low").alias("perplexity_low"), F.exp("high").alias("perplexity_high"))
 
