@@ -94,11 +94,7 @@ def _of_size(docs: DataFrame, items: DataFrame, id: str, text: str, size: int, p
     rows = rows.where(F.col("s") + F.col("n") <= F.size("w"))
     rows = rows.withColumn("wh", _shingles(F.slice("w", F.col("s") + 1, F.col("n")), F.lit(0), F.col("n") - size + 1, size)).drop("w")
     prints = kept(rows.withColumn("fp", simhash_of(F.col("wh"))), "prints")
-    near = F.lit(FLIPS)
-    index = items.select("item", "n", "ifp", F.explode(_blocks(F.col("ifp"))).alias("b")).select("item", "n", "ifp", "b.b", "b.x", F.explode(near).alias("flip"))
-    index = index.select("item", "n", "ifp", "b", F.col("x").bitwiseXOR(F.col("flip")).alias("x"))
-    asked = prints.select("n", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select("n", "fp", "b.b", "b.x").distinct()
-    pairs = asked.join(index, ["n", "b", "x"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("n", "fp", "item").distinct()
+    pairs = _near(prints.select("n", "fp"), items)
     both = prints.join(pairs, ["n", "fp"]).join(items.select("item", "n", "ih").distinct(), ["item", "n"])
     same = F.size(F.array_intersect("a", "b"))
     both = both.withColumns({"a": _numbered(F.col("wh")), "b": _numbered(F.col("ih"))}).select("k", "i", "item", "s", "n", same.alias("same"), (2 * F.size("a") - same).alias("all"))
@@ -107,6 +103,17 @@ def _of_size(docs: DataFrame, items: DataFrame, id: str, text: str, size: int, p
     return best.select("k", F.col("m.i").alias("i"), "item", F.col("m.similarity").alias("similarity"), (-F.col("m.s")).alias("first_word"), F.col("n").alias("n_words"))
 
 
+def _near(prints: DataFrame, items: DataFrame) -> DataFrame:
+    """(n, fp, item): fingerprints of windows and items of as many words that differ in at most ``RADIUS`` bits.
+
+    Every item has thousands of flipped blocks, far more than Spark's estimate of them: both sides are shuffled, neither is sent to the driver.
+    """
+    index = items.select("item", "n", "ifp", F.explode(_blocks(F.col("ifp"))).alias("b")).select("item", "n", "ifp", "b.b", "b.x", F.explode(F.lit(FLIPS)).alias("flip"))
+    index = index.select("item", "n", "ifp", "b", F.col("x").bitwiseXOR(F.col("flip")).alias("x"))
+    asked = prints.select("n", "fp", F.explode(_blocks(F.col("fp"))).alias("b")).select("n", "fp", "b.b", "b.x").distinct()
+    return asked.join(index.hint("merge"), ["n", "b", "x"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("ifp"))) <= RADIUS).select("n", "fp", "item").distinct()
+
+
 def leaks(docs: DataFrame, items: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document and benchmark item found in it: id, item_id, similarity, first_word and n_words (see ``contaminated``)."""
     found = contaminated(docs, items, id, text)
