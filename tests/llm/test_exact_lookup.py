@@ -17,6 +17,8 @@ def test_no_gram_takes_the_value_of_another(spark):
     rows = charlm.kept(charlm.smooth(charlm.count_grams(docs, "t", "g", 3), 3, True), "model")
     model = charlm.collect(rows, 3, 4)  # 16 runs of leading bits for thousands of entries
     assert len(model.keys) == rows.count()
+    bound = charlm.collect(rows, 3, 4, most=10)
+    assert bound.width == charlm.WIDTH and len(bound.keys) == len(np.unique(model.keys >> np.uint64(40)))
     asked = [a + b + c for a in "abcd" for b in "efgh" for c in "ijé"]
     codes, bounds = charlm.code_points(charlm.pa.array(asked), 0)
     got = model.log_probs(codes, np.arange(2, len(codes), 3), 0)
