@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skillgrid.llm import line_dedup
-from skillgrid.llm.common import kept
+from skillgrid.llm.common import kept, small
 
 
 def distance(a: str, b: str) -> int:
@@ -87,3 +87,14 @@ def test_a_kept_table_leaves_no_shuffle_files(spark):
         spark.range(1).count()
     assert spread.count() == 7
     assert disk.getAllBlocks().size() <= before + 2
+
+
+def test_a_simhash_is_a_small_expression(spark):
+    """Nested rounds of votes made an expression of 239,000 characters, which every executor compiled."""
+    rows = spark.range(1).select(F.array(F.xxhash64("id")).alias("x"))
+    assert len(rows.select(line_dedup.simhash_of(F.col("x")))._jdf.queryExecution().optimizedPlan().toString()) < 40_000
+
+
+def test_only_little_is_sent_to_the_driver(spark):
+    plans = [small(spark.range(n))._jdf.queryExecution().logical().toString() for n in (1_000, 300_000)]
+    assert ["broadcast" in p for p in plans] == [True, False]
