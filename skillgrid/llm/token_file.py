@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from skillgrid.llm.common import kept, small, steps
-from skillgrid.session import work_dir
+from skillgrid.session import freed_shuffles, work_dir
 
 PRECISION = 20
 LANES = 1024
@@ -226,7 +226,8 @@ def write(tokens: DataFrame, freq: np.ndarray, path: str) -> None:
 
     ordered = tokens.repartitionByRange(n_parts, "i").sortWithinPartitions("i", "ids")
     blocks = ordered.mapInArrow(run, "part int, block int, n long, doc array<long>, size array<long>, states binary, words binary, marks binary, places array<long>, crc long")
-    blocks.write.option("compression", "none").parquet(f"{path}/blocks")
+    with freed_shuffles(tokens.sparkSession):
+        blocks.write.option("compression", "none").parquet(f"{path}/blocks")
     rows = [(int(k), int(freq[k])) for k in np.flatnonzero(freq)]
     spark.createDataFrame(rows, "id int, freq int").coalesce(1).write.parquet(f"{path}/frequencies")
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skillgrid.operators import extract
-from skillgrid.session import cut, work_dir
+from skillgrid.session import cut, freed_shuffles, work_dir
 from skillgrid.sources.store import replace_parts, stored
 
 #: Folders that texts and words are dealt to.
@@ -123,7 +123,8 @@ def refresh(decisions: DataFrame, base: DataFrame, store: str, stream: str, batc
         asked = [r[0] for r in touched.select("doc_bucket").distinct().collect()]
         stay = stored(spark, f"{store}/hits", HITS).where(F.col("bucket").isin(asked)).join(touched.select("doc_id"), "doc_id", "left_anti")
         staged = work_dir(spark, "refreshed")
-        _matched(again, after).unionByName(stay.select("doc_id", "skill", "text", "start", "end", "load", "bucket")).write.parquet(staged)
+        with freed_shuffles(spark):
+            _matched(again, after).unionByName(stay.select("doc_id", "skill", "text", "start", "end", "load", "bucket")).write.parquet(staged)
         replace_parts(spark.read.schema(HITS).parquet(staged).repartition("load", "bucket"), f"{store}/hits", "load", "bucket")
     row = (number, stream, batch_id, heads.count(), documents)
     spark.createDataFrame([row], REFRESHES).coalesce(1).write.mode("append").parquet(f"{store}/refreshes")
